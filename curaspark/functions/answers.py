@@ -109,6 +109,10 @@ def vote_text(answer: Column) -> Column:
 
 def canonical(answer: Column) -> Column:
     """One spelling per value: numbers, percentages, money and simple fractions meet on their numeric value."""
+
+    def number_key(number: Column) -> Column:
+        return F.concat(F.lit("\x00n"), (F.round(number, 9) + F.lit(0.0)).cast("string"))
+
     plain = F.rtrim(F.regexp_replace(F.lower(collapse_spaces(answer)), r"[$%]|(?<=\d),(?=\d{3})", ""), F.lit(". "))
     plain = F.regexp_replace(F.ltrim(plain), r"\\[dt]?frac\{([^{}]*)\}\{([^{}]*)\}", "$1/$2")
 
@@ -118,9 +122,11 @@ def canonical(answer: Column) -> Column:
         number = F.when(s.rlike(r"\A[-+]?(\d+(\.\d*)?|\.\d+)\z"), s.try_cast("double")).when(
             s.rlike(r"\A[-+]?\d+(\.\d+)? ?/ ?[-+]?\d+(\.\d+)?\z"), quotient
         )
-        return F.coalesce(F.concat(F.lit("\x00n"), (F.round(number, 9) + F.lit(0.0)).cast("string")), s)
+        return F.coalesce(number_key(number), s)
 
-    return let(plain, value)
+    # most answers are plain short numbers: settle those without the rewriting
+    short = (F.length(answer) <= 20) & answer.rlike(r"\A *[-+]?\d+(\.\d+)? *\z")
+    return F.when(short, number_key(F.trim(answer).try_cast("double"))).otherwise(let(plain, value))
 
 
 def same_answer(a: Column, b: Column) -> Column:

@@ -39,7 +39,7 @@ OFFLINE_SQL = KEYED_SQL + VOTE_SQL.format(valid="answer <> ''")
 
 
 def _vote(spark, sf, service_form=True):
-    return votes.majority_vote(view(spark, sf, "answers"), ["question_id"], "answer", ORDER, service_form)
+    return votes.majority_vote(view(spark, sf, "answers", wide=True), ["question_id"], "answer", ORDER, service_form)
 
 
 @query("majority_vote", SERVICE_SQL + "SELECT question_id, answer, ROUND(score, 6) AS score, n_valid, n_total FROM voted")
@@ -82,7 +82,7 @@ def _silver(spark, sf):
          FROM silver s LEFT JOIN shares h USING (question_id)""",
 )
 def solvability(spark, sf):
-    items, answers = _silver(spark, sf), view(spark, sf, "answers")
+    items, answers = _silver(spark, sf), view(spark, sf, "answers", wide=True)
     proposer = votes.solvability(answers, items, ["question_id"], "answer", "silver", "service_score")
     both = votes.solvability(
         answers, proposer.withColumnRenamed("solvability", "proposer_form"), ["question_id"], "answer", "silver", "service_score", code_form=True
@@ -121,7 +121,7 @@ def difficulty(spark, sf):
     FROM flags GROUP BY model, dataset""",
 )
 def reward_solver(spark, sf):
-    records = view(spark, sf, "eval_records")
+    records = view(spark, sf, "eval_records", wide=True)
     item, truth, response = F.col("item"), F.col("ground_truth"), F.col("model_response")
     shaped = (
         F.when(item % 4 == 3, F.concat(F.lit("<think> a </think> <answer> "), truth, F.lit(" </answer>")))
@@ -214,4 +214,4 @@ CHOICE_TEXT = """CASE WHEN item % 8 = 0 THEN CONCAT('ok <ACTION>select(', CAST(i
     SELECT model, item, list_extract(list_filter(c, lambda x: x IS NOT NULL AND x BETWEEN 0 AND 2), 1) AS choice FROM found""",
 )
 def choice_parse(spark, sf):
-    return view(spark, sf, "eval_records").select("model", "item", choice_index(F.expr(CHOICE_TEXT)).alias("choice"))
+    return view(spark, sf, "eval_records", wide=True).select("model", "item", choice_index(F.expr(CHOICE_TEXT)).alias("choice"))

@@ -29,7 +29,7 @@ FOLDED_SQL = ACCURACY_SQL + """
 
 
 def _summary(spark, sf):
-    return ev.accuracy(view(spark, sf, "eval_records"))
+    return ev.accuracy(view(spark, sf, "eval_records", wide=True))
 
 
 @query("eval_accuracy", ACCURACY_SQL + "SELECT * FROM accuracy_summary ORDER BY model, dataset")
@@ -112,7 +112,7 @@ VERDICT_TEXT = """CASE WHEN item % 7 = 0 THEN '' WHEN item % 5 = 0 THEN CONCAT('
     FROM judged GROUP BY model, dataset""",
 )
 def judge_accuracy(spark, sf):
-    return ev.judge_accuracy(view(spark, sf, "eval_records").withColumn("verdict", F.expr(VERDICT_TEXT)), "verdict")
+    return ev.judge_accuracy(view(spark, sf, "eval_records", wide=True).withColumn("verdict", F.expr(VERDICT_TEXT)), "verdict")
 
 
 @query(
@@ -154,7 +154,7 @@ def extract_answer(spark, sf):
         F.concat(F.lit("<description>\n"), "dataset", F.lit(" </description><answer> "), "ground_truth", F.lit(" </answer>")),
     ).otherwise(F.col("model_response"))
     r = F.col("model_response")
-    return view(spark, sf, "eval_records").select(
+    return view(spark, sf, "eval_records", wide=True).select(
         "model",
         "item",
         first_boxed(r).alias("first_box"),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from curaspark.functions import prompts as pr
 from curaspark.functions import proposals as pp
+from curaspark.operators.assemble import parse_proposals
 from curaspark.operators.sampling import sample_examples, sample_generations
 from curaspark.plans.catalog import query
 from curaspark.plans.standins import table, view, with_views
@@ -41,8 +42,8 @@ parsed AS (SELECT proposal_id, step, ({' AND '.join(f'{f} IS NOT NULL' for f in
 
 def strict(spark, sf):
     """Parsed proposals: format_ok and the fields, NULL where the response is malformed."""
-    parsed = view(spark, sf, "raw_proposals").select("proposal_id", "step", pp.parse_strict(F.col("response")).alias("p"))
-    return parsed.select("proposal_id", "step", F.col("p").isNotNull().alias("format_ok"), "p.*")
+    parsed = parse_proposals(view(spark, sf, "raw_proposals", wide=True), "response", strict=True)
+    return parsed.withColumn("format_ok", F.col("visual_type").isNotNull())
 
 
 @query(
@@ -80,8 +81,7 @@ def _loose_sql(field: str) -> str:
            {', '.join(f"CASE WHEN parsed THEN COALESCE({f}, '') ELSE '' END AS {f}" for f in FIELDS[1:])} FROM p""",
 )
 def parse_proposal_tolerant(spark, sf):
-    parsed = view(spark, sf, "loose_proposals").select("proposal_id", pp.parse_tolerant(F.col("response")).alias("p"))
-    return parsed.select("proposal_id", "p.*")
+    return parse_proposals(view(spark, sf, "loose_proposals", wide=True), "response")
 
 
 def _keyword_sql(text: str) -> str:
@@ -104,7 +104,7 @@ TYPED = """SELECT doc_id, lang, CASE WHEN doc_id % 6 = 0 THEN 'Data Chart' WHEN
 )
 def content_type(spark, sf):
     tag, caption = F.col("tag"), F.col("caption")
-    return spark.sql(TYPED, documents=table(spark, sf, "documents")).select(
+    return spark.sql(TYPED, documents=table(spark, sf, "documents", wide=True)).select(
         "doc_id",
         pp.normalize_content_type(tag).alias("tag_type"),
         pp.content_type_of_caption(caption).alias("caption_type"),
@@ -130,7 +130,7 @@ codes AS (SELECT response_id, step, COALESCE(svg, CASE WHEN contains(lower(xml),
 def codes(spark, sf):
     response = F.col("response")
     wanted = F.when(F.col("response_id") % 2 == 1, F.lit("svg")).otherwise(F.lit("plotly"))
-    return view(spark, sf, "code_responses").select(
+    return view(spark, sf, "code_responses", wide=True).select(
         "response_id", "step", pp.svg_block(response).alias("svg_code"), pp.code_block(response, wanted).alias("any_code")
     )
 
@@ -183,12 +183,13 @@ PROMPTS_SQL = (
 
 def _prompts(spark, sf):
     """Prompt texts of all proposals with a caption; the malformed ones lack hard fields."""
-    clean = pp.tighten_tags(F.col("response"))
-    from curaspark.functions.text import between, strip
+    from curaspark.functions.text import between, let, strip
 
-    fields = [strip(between(clean, f"<{f}>", f"</{f}>")).alias(f) for f in FIELDS]
-    rows = view(spark, sf, "raw_proposals").select("proposal_id", *fields).filter("caption IS NOT NULL")
-    return rows.withColumn("prompt", _prompt())
+    def fields(clean):
+        return F.struct(*[strip(between(clean, f"<{f}>", f"</{f}>")).alias(f) for f in FIELDS])
+
+    found = F.filter(F.array(let(pp.tighten_tags(F.col("response")), fields)), lambda f: f["caption"].isNotNull())
+    return view(spark, sf, "raw_proposals", wide=True).select("proposal_id", F.inline(found)).withColumn("prompt", _prompt())
 
 
 @query(

@@ -10,6 +10,8 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
+from curaspark.sources.tables import read_table
+
 VIEWS: dict[str, str] = {
     # one rollout per event, group = user
     "rollouts": """
@@ -92,14 +94,14 @@ def _tables_of(text: str) -> list[str]:
     return sorted({f for _, f, _, _ in string.Formatter().parse(text) if f})
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    return read_table(spark, f"{sf_dir}/{name}.parquet", wide)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stand-in view as a DataFrame over the parquet tables."""
+def view(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    """A stand-in view as a DataFrame over the parquet tables; ``wide`` for work that is heavy per row."""
     text = VIEWS[name]
-    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in _tables_of(text)})
+    return spark.sql(text, **{t: table(spark, sf_dir, t, wide) for t in _tables_of(text)})
 
 
 def with_views(*names: str) -> str:
