@@ -83,6 +83,25 @@ VIEWS: dict[str, str] = {
                     WHEN page_id % 8 = 6 THEN CONCAT('from x import y', CHR(10), 'plt.hist(', CAST(page_id AS VARCHAR(12)), ')')
                     ELSE html END AS response
         FROM {pages}""",
+    # proposals, their code samples, and the solver's rollouts on the easy and on the hard question
+    "proposal_rows": """
+        SELECT o_orderkey AS proposal_id, CAST(o_orderkey % 10 AS INT) AS step, o_orderkey % 7 <> 0 AS format_ok,
+               CASE WHEN o_orderkey % 10 < 3 THEN 'data_chart' WHEN o_orderkey % 10 = 9 AND o_custkey % 5 < 4 THEN 'geometry' WHEN o_orderpriority = '1-URGENT' THEN 'map'
+                    WHEN o_orderkey % 10 < 6 AND o_custkey % 4 <> 0 THEN 'table' ELSE 'other' END AS content_type,
+               CASE WHEN o_custkey % 9 = 0 THEN '' ELSE CAST(o_orderkey % 4 AS VARCHAR(8)) END AS easy_answer
+        FROM {orders}""",
+    "proposal_samples": """
+        SELECT DISTINCT l_orderkey AS proposal_id, l_linenumber AS sample_id, (l_orderkey + l_linenumber) % 3 <> 0 AS is_rendered
+        FROM {lineitem}""",
+    "easy_rollouts": """
+        SELECT l_orderkey AS proposal_id, l_linenumber AS sample_id, CAST(CAST(l_quantity AS INT) % 4 AS VARCHAR(8)) AS answer,
+               l_linenumber, l_partkey, l_suppkey, l_extendedprice
+        FROM {lineitem} WHERE l_suppkey % 2 = 0""",
+    "hard_rollouts": """
+        SELECT l_orderkey AS proposal_id, l_linenumber AS sample_id,
+               CASE WHEN CAST(l_quantity AS INT) % 11 = 0 THEN 'N/A' ELSE CONCAT(CAST(CAST(l_quantity AS INT) % 3 AS VARCHAR(8)), ' ') END AS answer,
+               l_linenumber, l_partkey, l_suppkey, l_extendedprice
+        FROM {lineitem} WHERE l_suppkey % 2 <> 0""",
     # one rollout per conversation turn; the words of the turn are its tokens
     "turns": """
         SELECT conv_id AS uid, conv_id * 1000 + turn AS rollout_id, CAST(conv_id % 10 AS INT) AS step, turn, role, text
