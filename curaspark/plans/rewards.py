@@ -84,7 +84,7 @@ def _proposer(spark, sf):
     rows, samples = view(spark, sf, "proposal_rows"), view(spark, sf, "proposal_samples")
     penalties = rw.content_type_penalty(rows.filter("format_ok"), ["step"], "content_type")
     proposals = attach(rows, penalties.select("proposal_id", "content_type_penalty"), ["proposal_id"])
-    scores = rw.sample_scores(rows, samples, view(spark, sf, "easy_rollouts"), view(spark, sf, "hard_rollouts"), ORDER)
+    scores = rw.sample_scores(rows.filter("format_ok"), samples, view(spark, sf, "easy_rollouts"), view(spark, sf, "hard_rollouts"), ORDER)
     return rw.proposer_reward(proposals, samples, scores)
 
 
