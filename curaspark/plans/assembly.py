@@ -106,9 +106,9 @@ def filter_render_rate(spark, sf):
     return rates.withColumn("render_success_rate", F.round("render_success_rate", 6))
 
 
-def _halves_sql(half: int, name: str) -> str:
+def _halves_sql(half: str, name: str) -> str:
     return f"""{name}_k AS (SELECT question_id, CASE WHEN contains(lower(answer), 'no ') THEN 'no' WHEN TRY_CAST(trim(answer) AS DOUBLE) IS NOT NULL THEN CAST(TRY_CAST(trim(answer) AS DOUBLE) AS VARCHAR) ELSE answer END AS k,
-        row(l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, answer FROM answers WHERE l_linenumber % 2 = {half}),
+        row(l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, answer FROM answers WHERE part = '{half}'),
     {name}_c AS (SELECT question_id, k, COUNT(*) AS n, MIN(pos) AS pos, arg_min(answer, pos) AS answer FROM {name}_k GROUP BY question_id, k),
     {name}_r AS (SELECT question_id, answer, n, ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY n DESC, pos) AS r, SUM(n) OVER (PARTITION BY question_id) AS total FROM {name}_c),
     {name} AS (SELECT question_id, answer, n / total AS score FROM {name}_r WHERE r = 1)"""
@@ -117,7 +117,7 @@ def _halves_sql(half: int, name: str) -> str:
 @query(
     "asm_evaluated",
     with_views("answers")
-    + f", {_halves_sql(0, 'easy')}, {_halves_sql(1, 'hard')}"
+    + f", {_halves_sql('O', 'easy')}, {_halves_sql('F', 'hard')}"
     + """ SELECT h.question_id, h.answer, ROUND(h.score, 6) AS score, ROUND(h.score, 6) AS hard_consistency, ROUND(COALESCE(e.score, 0.0), 6) AS easy_consistency
           FROM hard h LEFT JOIN easy e USING (question_id)""",
 )
@@ -125,9 +125,9 @@ def asm_evaluated(spark, sf):
     answers = view(spark, sf, "answers", wide=True)
 
     def vote(half):
-        return votes.majority_vote(answers.filter(F.col("l_linenumber") % 2 == half), ["question_id"], "answer", ORDER, service_form=False)
+        return votes.majority_vote(answers.filter(F.col("part") == half), ["question_id"], "answer", ORDER, service_form=False)
 
-    out = assemble.evaluated_set(vote(1).filter("n_valid > 0"), vote(0), ["question_id"])
+    out = assemble.evaluated_set(vote("F").filter("n_valid > 0"), vote("O"), ["question_id"])
     return out.select("question_id", "answer", *[F.round(c, 6).alias(c) for c in ("score", "hard_consistency", "easy_consistency")])
 
 

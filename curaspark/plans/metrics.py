@@ -159,7 +159,7 @@ METRIC_NAMES = ["reward/overall", "reward/detail/format", "accuracy"]
 @query("metrics_long", METRICS_SQL + "SELECT step, metric, ROUND(value, 6) AS value FROM long")
 def metrics_long(spark, sf):
     rows = _metric_rows(spark, sf)
-    long = mt.long_metrics(rows.select("step", *[F.col(f"`{m}`").alias(m.replace("/", ".")) for m in METRIC_NAMES]).toDF("step", *METRIC_NAMES), ["step"], [f"{m}" for m in METRIC_NAMES])
+    long = mt.long_metrics(rows, ["step"], METRIC_NAMES)
     return rounded(mt.reduce_metrics(long, ["step"]), "value")
 
 
@@ -219,14 +219,14 @@ COEVOLUTION_SQL = (
     ACCURACY_SQL.replace("WITH ", with_views("evaluated", "proposal_samples") + ", ", 1)
     + f""", res AS (SELECT {VERSIONS.format(k='question_id')}, CASE WHEN question_id % 6 = 0 THEN score ELSE hard_consistency END AS h, easy_consistency AS e, question_type FROM evaluated),
 base AS (SELECT run, version, AVG(1 - ABS(2 * h - 1)) AS avg_difficulty, AVG(e) AS avg_solvability, AVG(e) - AVG(h) AS easy_hard_gap, COUNT(h) AS n_evaluated FROM res GROUP BY 1, 2),
-ren AS (SELECT {VERSIONS.format(k='proposal_id')}, COUNT(*) AS n_rendered FROM proposal_samples WHERE is_rendered AND proposal_id % 5 <> 4 GROUP BY 1, 2),
+ren AS (SELECT {VERSIONS.format(k='proposal_id')}, COUNT(*) AS n_rendered FROM proposal_samples WHERE is_rendered GROUP BY 1, 2),
 made AS (SELECT {VERSIONS.format(k='page_id')}, COUNT(*) AS n_proposals, AVG(length(html)) AS avg_code_length FROM pages GROUP BY 1, 2),
 ctn AS (SELECT {VERSIONS.format(k='doc_id')}, lang, COUNT(*) AS n FROM documents GROUP BY 1, 2, 3),
 ctd AS (SELECT run, version, CASE WHEN COUNT(*) <= 1 THEN 0.0 ELSE (LN(SUM(n)) - SUM(n * LN(n)) / SUM(n)) / LN(COUNT(*)) END AS content_diversity FROM ctn GROUP BY 1, 2),
 qtn AS (SELECT run, version, question_type, COUNT(*) AS n FROM res GROUP BY 1, 2, 3),
 qtd AS (SELECT run, version, (LN(SUM(n)) - SUM(n * LN(n)) / SUM(n)) / LN(COUNT(*)) AS question_diversity FROM qtn GROUP BY 1, 2),
 sv AS (SELECT {VERSIONS.format(k='question_id')}, COUNT(*) AS n_solver_filtered FROM evaluated WHERE {USABLE_SQL} AND easy_consistency >= 0.5 AND hard_consistency BETWEEN 0.25 AND 0.75 GROUP BY 1, 2),
-cg AS (SELECT {VERSIONS.format(k='doc_id')}, COUNT(*) AS n_codegen_filtered FROM documents WHERE doc_id % 5 <> 2 GROUP BY 1, 2),
+cg AS (SELECT {VERSIONS.format(k='doc_id')}, COUNT(*) AS n_codegen_filtered FROM documents WHERE n_chars >= 1000 GROUP BY 1, 2),
 acc AS (SELECT model, CONCAT('v', regexp_extract(model, 'solver_v(\\d+)', 1)) AS version, AVG(accuracy) AS mean_accuracy FROM accuracy_summary WHERE model <> 'base' GROUP BY model)
 SELECT b.run, b.version, ROUND(avg_difficulty, 6) AS avg_difficulty, ROUND(avg_solvability, 6) AS avg_solvability, ROUND(easy_hard_gap, 6) AS easy_hard_gap, n_evaluated, COALESCE(n_rendered, 0) AS n_rendered,
     COALESCE(n_proposals, 0) AS n_proposals, ROUND(COALESCE(n_rendered, 0) / n_proposals, 6) AS render_rate, ROUND(avg_code_length, 4) AS avg_code_length, ROUND(content_diversity, 6) AS content_diversity,
@@ -241,10 +241,10 @@ def coevolution(spark, sf):
     evaluated = view(spark, sf, "evaluated")
     hard = F.when(F.col("question_id") % 6 != 0, F.col("hard_consistency"))
     results = evaluated.select(*_versions("question_id"), hard.alias("hard_consistency"), "score", "easy_consistency", "question_type")
-    rendered = view(spark, sf, "proposal_samples").filter("is_rendered AND proposal_id % 5 <> 4").select(*_versions("proposal_id"))
+    rendered = view(spark, sf, "proposal_samples").filter("is_rendered").select(*_versions("proposal_id"))
     codes = table(spark, sf, "pages").select(*_versions("page_id"), F.col("html").alias("generated_code"))
     proposals = table(spark, sf, "documents").select(*_versions("doc_id"), F.col("lang").alias("content_type"))
-    codegen = table(spark, sf, "documents").filter("doc_id % 5 <> 2").select(*_versions("doc_id"))
+    codegen = table(spark, sf, "documents").filter("n_chars >= 1000").select(*_versions("doc_id"))
     solver = assemble.solver_candidates(evaluated).filter("reject_reason IS NULL").select(*_versions("question_id"))
     out = co.iteration_metrics(results, rendered, codes, proposals, codegen, solver)
     out = co.with_accuracy(out, ev.accuracy(view(spark, sf, "eval_records", wide=True)))

@@ -20,7 +20,7 @@ VIEWS: dict[str, str] = {
         FROM {events}""",
     # one solver answer per order line; some are non-answers
     "answers": """
-        SELECT l_orderkey AS question_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+        SELECT l_orderkey AS question_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_linestatus AS part,
                CASE WHEN CAST(l_quantity AS INT) % 11 = 0 THEN 'N/A'
                     WHEN CAST(l_quantity AS INT) % 13 = 0 THEN CONCAT('no change ', CAST(CAST(l_quantity AS INT) AS VARCHAR(8)))
                     WHEN CAST(l_quantity AS INT) % 2 = 0 THEN CONCAT(' ', CAST(CAST(l_quantity AS INT) % 4 AS VARCHAR(8)))
@@ -96,12 +96,12 @@ VIEWS: dict[str, str] = {
     "easy_rollouts": """
         SELECT l_orderkey AS proposal_id, l_linenumber AS sample_id, CAST(CAST(l_quantity AS INT) % 4 AS VARCHAR(8)) AS answer,
                l_linenumber, l_partkey, l_suppkey, l_extendedprice
-        FROM {lineitem} WHERE l_suppkey % 2 = 0""",
+        FROM {lineitem} WHERE l_linestatus = 'O'""",
     "hard_rollouts": """
         SELECT l_orderkey AS proposal_id, l_linenumber AS sample_id,
                CASE WHEN CAST(l_quantity AS INT) % 11 = 0 THEN 'N/A' ELSE CONCAT(CAST(CAST(l_quantity AS INT) % 3 AS VARCHAR(8)), ' ') END AS answer,
                l_linenumber, l_partkey, l_suppkey, l_extendedprice
-        FROM {lineitem} WHERE l_suppkey % 2 <> 0""",
+        FROM {lineitem} WHERE l_linestatus <> 'O'""",
     # one rollout per conversation turn; the words of the turn are its tokens
     "turns": """
         SELECT conv_id AS uid, conv_id * 1000 + turn AS rollout_id, CAST(conv_id % 10 AS INT) AS step, turn, role, text
