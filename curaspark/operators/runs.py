@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curaspark.operators.groups import attach
@@ -28,13 +28,13 @@ def obsolete_steps(steps: DataFrame, current: DataFrame, limit: int, run: str =
     if limit <= 0:
         return steps.select(run, "step").limit(0)
     older = steps.select(run, "step").distinct().join(current, run).filter(F.col("step") < F.col("current_step"))
-    is_best = F.col("step").eqNullSafe(F.col("best_step"))
-    others = older.groupBy(run).agg(
-        F.sort_array(F.collect_list(F.when(~is_best, F.col("step"))), asc=False).alias("steps"), F.max(is_best).alias("has_best")
-    )
-    # stored steps of a run are a short list, as each of them is a whole checkpoint
-    places = F.greatest(F.lit(limit - 1) - F.col("has_best").cast("int"), F.lit(0))
-    return others.select(run, F.explode(F.slice("steps", places + 1, F.greatest(F.size("steps"), F.lit(1)))).alias("step"))
+    others = older.filter(~F.col("step").eqNullSafe(F.col("best_step"))).select(run, "step")
+    has_best = older.groupBy(run).agg(F.max(F.col("step").eqNullSafe(F.col("best_step")).cast("int")).alias("__best"))
+    # the newest steps of a run: at most ``limit - 1`` rows per run leave each map task
+    newest = Window.partitionBy(run).orderBy(F.desc("step"))
+    places = others.withColumn("__rn", F.row_number().over(newest)).filter(F.col("__rn") <= limit - 1)
+    kept = places.join(has_best, run).filter(F.col("__rn") <= F.lit(limit - 1) - F.col("__best")).select(run, "step")
+    return others.join(kept, [run, "step"], "left_anti")
 
 
 def next_step(steps: DataFrame, run: str = "run") -> DataFrame:

@@ -63,33 +63,34 @@ def run_pending(spark, sf):
     return rn.pending(planned, done, ["run", "phase"]).join(rn.next_step(_steps(spark, sf)), "run")
 
 
-# a conversation is an episode, its turns are the rounds; nested as the collector writes them
+# a document is an episode, its lines are the rounds; nested as the collector writes them
 def _episodes(spark, sf):
-    turns = table(spark, sf, "conversations")
-    round_ = F.struct(
-        F.col("turn").cast("int").alias("round"),
-        F.concat(F.lit("q"), F.col("turn").cast("string")).alias("question_screenshot"),
-        F.col("role").alias("result_screenshot"),
-        (F.length("text") % 3).cast("int").alias("selected_index"),
-        F.array(F.length("text"), F.col("turn").cast("int")).alias("click_position"),
-        F.lit("2024-01-01T00:00:00").alias("timestamp"),
-    )
-    # an episode has at most a handful of rounds
-    nested = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(round_)).alias("rounds"))
-    n = F.size("rounds")
-    return nested.select(
-        F.col("conv_id").cast("int").alias("episode_id"),
-        F.concat(F.lit("device"), (F.col("conv_id") % 4).cast("string")).alias("device_id"),
-        n.alias("completed_rounds"),
-        (n >= 4).alias("success"),
-        "rounds",
+    docs = table(spark, sf, "documents")
+    lines = F.split("text", "\n", -1)
+
+    def played(line, i):
+        return F.struct(
+            (i + 1).alias("round"),
+            F.concat(F.lit("q"), i.cast("string")).alias("question_screenshot"),
+            F.substring(line, 1, 8).alias("result_screenshot"),
+            (F.length(line) % 3).alias("selected_index"),
+            F.array(F.length(line), i).alias("click_position"),
+            F.lit("2024-01-01T00:00:00").alias("timestamp"),
+        )
+
+    return docs.select(
+        F.col("doc_id").cast("int").alias("episode_id"),
+        F.concat(F.lit("device_"), "source").alias("device_id"),
+        F.size(lines).alias("completed_rounds"),
+        (F.size(lines) >= 10).alias("success"),
+        F.transform(lines, played).alias("rounds"),
     )
 
 
 @query(
     "episode_summary",
-    """WITH e AS (SELECT conv_id, CONCAT('device', CAST(conv_id % 4 AS VARCHAR)) AS device_id, COUNT(*) AS n FROM conversations GROUP BY conv_id),
-    d AS (SELECT device_id, COUNT(*) AS total_episodes, COUNT(*) FILTER (n >= 4) AS successful_episodes, SUM(n)::BIGINT AS total_rounds_collected FROM e GROUP BY device_id)
+    """WITH e AS (SELECT doc_id, CONCAT('device_', source) AS device_id, len(string_split(text, CHR(10))) AS n FROM documents),
+    d AS (SELECT device_id, COUNT(*) AS total_episodes, COUNT(*) FILTER (n >= 10) AS successful_episodes, SUM(n)::BIGINT AS total_rounds_collected FROM e GROUP BY device_id)
     SELECT device_id, 1::BIGINT AS total_devices, total_episodes, successful_episodes, total_rounds_collected FROM d
     UNION ALL SELECT 'all', COUNT(*), SUM(total_episodes)::BIGINT, SUM(successful_episodes)::BIGINT, SUM(total_rounds_collected)::BIGINT FROM d""",
 )
@@ -101,7 +102,8 @@ def episode_summary(spark, sf):
 
 @query(
     "episode_rounds",
-    "SELECT conv_id::INT AS episode_id, CONCAT('device', CAST(conv_id % 4 AS VARCHAR)) AS device_id, turn::INT AS round, (length(text) % 3)::INT AS selected_index, length(text)::INT AS x, turn::INT AS y FROM conversations",
+    """WITH l AS (SELECT doc_id, source, UNNEST(string_split(text, CHR(10))) AS line, generate_subscripts(string_split(text, CHR(10)), 1) AS i FROM documents)
+    SELECT doc_id::INT AS episode_id, CONCAT('device_', source) AS device_id, i::INT AS round, (length(line) % 3)::INT AS selected_index, length(line)::INT AS x, (i - 1)::INT AS y FROM l""",
 )
 def episode_rounds(spark, sf):
     rounds = rn.episode_rounds(_episodes(spark, sf))

@@ -35,7 +35,10 @@ def good_rows(shards: DataFrame) -> DataFrame:
 
 def bad_files(shards: DataFrame) -> DataFrame:
     """Files that could not be read, with the number of faulty records."""
-    return shards.filter(F.col(BAD).isNotNull()).groupBy("source_file").agg(F.count(F.lit(1)).alias("bad_records"))
+    data = next(c for c in shards.columns if c not in (BAD, "source_file"))
+    # Spark refuses to scan for the corrupt column alone, so the condition also looks at a data column
+    faulty = F.col(BAD).isNotNull() & (F.col(data).isNull() | (F.length(BAD) > 0))
+    return shards.filter(faulty).groupBy("source_file").agg(F.count(F.lit(1)).alias("bad_records"))
 
 
 # ---------------------------------------------------------------- JSON lines
@@ -53,21 +56,38 @@ def read_jsonl(spark: SparkSession, paths: str | Sequence[str], schema: str | T.
 def read_eval_responses(
     spark: SparkSession, root: str, schema: str | T.StructType, model: str | None = None, dataset: str | None = None
 ) -> DataFrame:
-    """Records of ``root/<model>/<dataset>.jsonl`` with model and dataset taken from the path.
+    """Records of ``root/<model>/<dataset>.jsonl`` (a file or a folder of part files), keyed by their path.
 
-    Partial ``.shard`` files are left out by the file filter. A wanted model or dataset narrows the file listing
-    itself, so other files are never opened.
+    A wanted model or dataset narrows the glob, so other files are never listed. Partial ``.shard`` files are left out
+    by a condition on the file path, which Spark applies to the list of files.
     """
     pattern = f"{root}/{model or '*'}/{dataset or '*'}.jsonl"
-    df = spark.read.schema(_struct(schema)).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.jsonl").json(pattern)
+    df = spark.read.schema(_struct(schema)).option("mode", "DROPMALFORMED").json(pattern)
     path = F.col("_metadata.file_path")
-    keyed = df.withColumns(
+    keyed = df.filter(~path.contains(".shard")).withColumns(
         {
-            "model": F.regexp_extract(path, r"([^/]+)/[^/]+\.jsonl$", 1),
-            "dataset": F.regexp_extract(path, r"([^/]+)\.jsonl$", 1),
+            "model": F.regexp_extract(path, r"([^/]+)/[^/]+\.jsonl(?:/[^/]*)?$", 1),
+            "dataset": F.regexp_extract(path, r"([^/]+)\.jsonl(?:/[^/]*)?$", 1),
         }
     )
-    return keyed.filter(~F.col("dataset").contains(".shard"))
+    return keyed
+
+
+def write_eval_responses(records: DataFrame, root: str) -> None:
+    """Write records as ``root/<model>/<dataset>.jsonl``: folders of part files, so a large data set stays split."""
+    spark = records.sparkSession
+    staged = f"{root}/_staged"
+    records.write.partitionBy("model", "dataset").json(staged)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    for model in fs.listStatus(hadoop.Path(staged)):
+        if not model.isDirectory():
+            continue
+        target = f"{root}/{model.getPath().getName().partition('=')[2]}"
+        fs.mkdirs(hadoop.Path(target))
+        for dataset in fs.listStatus(model.getPath()):
+            name = dataset.getPath().getName().partition("=")[2]
+            fs.rename(dataset.getPath(), hadoop.Path(f"{target}/{name}.jsonl"))
 
 
 # ---------------------------------------------------------------- datasets
