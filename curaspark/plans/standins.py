@@ -45,7 +45,7 @@ VIEWS: dict[str, str] = {
                       '< caption >', text, '</caption><easy_question>What is q', CAST(doc_id AS VARCHAR(12)), '?</easy_question><easy_answer>',
                       CAST(n_chars % 4 AS VARCHAR(8)), '</easy_answer>',
                       CASE WHEN doc_id % 7 = 0 THEN ''
-                           ELSE CONCAT('<hard_question>', SUBSTRING(lang, 1, 2), ' or ', source, '?</hard_question> <hard_answer>1</hard_answer>') END) AS response
+                           ELSE CONCAT('<hard_question>Which of the sources of ', lang, ' is ', source, '?</hard_question> <hard_answer>1</hard_answer>') END) AS response
         FROM {documents}""",
     # the same documents with the looser notations a model may produce
     "loose_proposals": """

@@ -37,3 +37,25 @@ def stream_progress(spark, sf):
     done.join(total, "shard").select("shard", "done", "total").repartition(4).write.json(folder)
     st.track_progress(spark, folder, out, checkpoint, files_per_batch=2)
     return spark.read.parquet(out)
+
+
+@query(
+    "stream_caption_memory",
+    """WITH c AS (SELECT CAST(doc_id % 10 AS INT) AS step, COUNT(*) AS n, SUM(length(text))::BIGINT AS chars FROM documents GROUP BY 1)
+    SELECT now.step, COALESCE(SUM(past.n), 0)::BIGINT AS n_remembered, COALESCE(SUM(past.chars), 0)::BIGINT AS chars FROM c now LEFT JOIN c past ON past.step >= now.step - 5 AND past.step < now.step GROUP BY now.step""",
+)
+def stream_caption_memory(spark, sf):
+    folder, history, checkpoint = (shared_path(spark, f"captions-{p}") for p in ("in", "out", "state"))
+    captions = table(spark, sf, "documents").select(
+        (F.col("doc_id") % 10).cast("int").alias("step"), F.col("doc_id").alias("proposal_id"), F.col("text").alias("caption")
+    )
+    schema = "step INT, proposal_id BIGINT, caption STRING"
+    # the steps arrive in two waves
+    for early in (True, False):
+        captions.filter((F.col("step") < 5) == early).repartition(4, "step").write.mode("append").json(folder)
+        st.remember_captions(spark, folder, schema, history, checkpoint, files_per_batch=3)
+    remembered = spark.read.parquet(history).select("step", "caption")
+    counts = remembered.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("caption")).alias("c"))
+    seen = counts.select(F.explode(F.sequence(F.col("step") + 1, F.col("step") + 5)).alias("step"), "n", "c")
+    sums = seen.groupBy("step").agg(F.sum("n").alias("n_remembered"), F.sum("c").cast("bigint").alias("chars"))
+    return counts.select("step").join(sums, "step", "left").fillna(0)
