@@ -14,7 +14,8 @@ SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once per row.
 
-    A column used in several places of one expression is otherwise evaluated in each of them.
+    A column used in several places of one expression is otherwise evaluated in each of them, and one used inside a
+    lambda over an array again for every element (the optimiser merges projections, so naming it does not help).
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
 

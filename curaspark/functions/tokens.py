@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from curaspark.functions.text import let
+
 EPS = 1e-8
 
 
@@ -27,8 +29,10 @@ def masked_mean(values: Column, mask: Column) -> Column:
 def response_mask(ids: Column, eos: Sequence[int]) -> Column:
     """1 up to and including the first end token, 0 after it; all 1 without an end token."""
     ends = F.array_compact(F.array(*[F.nullif(F.array_position(ids, F.lit(e)), F.lit(0)) for e in eos]))
-    last = F.coalesce(F.array_min(ends), F.size(ids))
-    return F.transform(ids, lambda _, i: F.when(i < last, F.lit(1)).otherwise(F.lit(0)))
+    return let(
+        F.coalesce(F.array_min(ends), F.size(ids).cast("bigint")),
+        lambda last: F.transform(ids, lambda _, i: F.when(i < last, F.lit(1)).otherwise(F.lit(0))),
+    )
 
 
 def position_ids(mask: Column) -> Column:
@@ -38,12 +42,16 @@ def position_ids(mask: Column) -> Column:
     """
     first = F.array_position(mask, F.lit(1))
     ones = F.size(F.filter(mask, lambda m: m == 1))
-    return F.transform(
-        mask,
-        lambda _, i: F.when(first == 0, F.lit(0)).otherwise(
-            F.greatest(F.lit(0), F.least(i + 2 - first, ones) - 1).cast("int")
-        ),
-    )
+
+    def ids(s: Column) -> Column:
+        return F.transform(
+            mask,
+            lambda _, i: F.when(s["first"] == 0, F.lit(0)).otherwise(
+                F.greatest(F.lit(0), F.least(i + 2 - s["first"], s["ones"]) - 1).cast("int")
+            ),
+        )
+
+    return let(F.struct(first.alias("first"), ones.alias("ones")), ids)
 
 
 def pad_or_cut(
@@ -87,14 +95,14 @@ def clip(value: Column, low: float, high: float) -> Column:
 
 def reward_at_last_token(score: Column, length: Column, width: Column) -> Column:
     """Token rewards of a response: the score on its last valid token, 0 elsewhere."""
-    return F.transform(
-        F.array_repeat(F.lit(0.0), width), lambda z, i: F.when(i == length - 1, score.cast("double")).otherwise(z)
-    )
+    at = F.struct(score.cast("double").alias("score"), (length - 1).alias("spot"))
+    zeros = F.array_repeat(F.lit(0.0), width)
+    return let(at, lambda s: F.transform(zeros, lambda z, i: F.when(i == s["spot"], s["score"]).otherwise(z)))
 
 
 def spread(advantage: Column, mask: Column) -> Column:
     """The same advantage on every valid token."""
-    return F.transform(mask, lambda m: advantage * m)
+    return let(advantage, lambda a: F.transform(mask, lambda m: a * m))
 
 
 # ---- reverse recursions: vectorised over the rows of an Arrow batch, one numpy step per token position

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curaspark.functions import tokens as tk
+from curaspark.functions.text import let
 from curaspark.operators.groups import attach, top_per_group, with_group_stats
 
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
@@ -93,10 +94,10 @@ def masked_whiten(
     mean = F.col("__avg") * n / (n + eps)
     squares = (n - 1) * F.col("__var") + n * (F.col("__avg") - mean) * (F.col("__avg") - mean)
     var = squares / (n + eps) * F.when(n > 1, n / (n - 1)).otherwise(F.lit(1.0))
-    joined = joined.withColumn("__mean", mean).withColumn("__scale", F.lit(1.0) / F.sqrt(var + eps))
+    moment = F.struct(mean.alias("mean"), (F.lit(1.0) / F.sqrt(var + eps)).alias("scale"))
     # a batch without any valid token keeps its values
-    white = F.transform(values, lambda x: F.coalesce((x - F.col("__mean")) * F.col("__scale"), x))
-    return joined.withColumn(out or values, white).drop("__n", "__avg", "__var", "__mean", "__scale")
+    white = let(moment, lambda s: F.transform(values, lambda x: F.coalesce((x - s["mean"]) * s["scale"], x)))
+    return joined.withColumn(out or values, white).drop("__n", "__avg", "__var")
 
 
 @register_estimator("reinforce_plus_plus")
@@ -112,9 +113,9 @@ def remax(rollouts: DataFrame, rewards: str = "rewards", mask: str = "mask", bas
     """Response reward less the reward of the greedy response, on every valid token."""
     lead = tk.total(F.col(rewards)) - F.col(baseline)
     masked = F.zip_with(rewards, mask, lambda r, m: r * m)
-    return rollouts.withColumn("__lead", lead).select(
-        "*", tk.spread(F.col("__lead"), F.col(mask)).alias("advantage"), tk.suffix_sums(masked).alias("returns")
-    ).drop("__lead")
+    return rollouts.select(
+        "*", tk.spread(lead, F.col(mask)).alias("advantage"), tk.suffix_sums(masked).alias("returns")
+    )
 
 
 @register_estimator("gae")

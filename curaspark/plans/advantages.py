@@ -143,7 +143,7 @@ def adv_remax(spark, sf):
     "adv_gae",
     TOKENS_SQL
     + f""", on_tokens AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY rollout_id ORDER BY i) AS k, r + 0.99::DOUBLE * COALESCE(LEAD(v) OVER (PARTITION BY rollout_id ORDER BY i), 0) - v AS delta FROM tokens WHERE m = 1),
-    est AS (SELECT rollout_id, i, SUM(delta * POW(0.99::DOUBLE * 0.97::DOUBLE, k)) OVER (PARTITION BY rollout_id ORDER BY i DESC) / POW(0.99::DOUBLE * 0.95::DOUBLE, k) AS a FROM on_tokens),
+    est AS (SELECT rollout_id, i, SUM(delta * POW(0.99::DOUBLE * 0.95::DOUBLE, k)) OVER (PARTITION BY rollout_id ORDER BY i DESC) / POW(0.99::DOUBLE * 0.95::DOUBLE, k) AS a FROM on_tokens),
     raw AS (SELECT t.*, COALESCE(FIRST_VALUE(a IGNORE NULLS) OVER (PARTITION BY t.rollout_id ORDER BY t.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS raw FROM tokens t LEFT JOIN est e ON e.rollout_id = t.rollout_id AND e.i = t.i),
     {whiten_sql('raw', 'raw')}
     SELECT uid, rollout_id, list(ROUND(white, 5) ORDER BY i) AS advantage, list(ROUND(raw + v, 5) ORDER BY i) AS returns FROM white GROUP BY uid, rollout_id""",
