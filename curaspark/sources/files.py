@@ -29,16 +29,20 @@ def read_shards(spark: SparkSession, paths: str | Sequence[str], schema: str | T
     return df.json(paths if isinstance(paths, str) else list(paths)).withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def _reads_data(shards: DataFrame) -> Column:
+    """Always true, but looks at a data column: Spark refuses to scan JSON for the corrupt column alone."""
+    data = next(c for c in shards.columns if c not in (BAD, "source_file"))
+    return F.length(F.coalesce(F.col(data).cast("string"), F.lit(""))) >= 0
+
+
 def good_rows(shards: DataFrame) -> DataFrame:
-    return shards.filter(F.col(BAD).isNull()).drop(BAD)
+    return shards.filter(F.col(BAD).isNull() & _reads_data(shards)).drop(BAD)
 
 
 def bad_files(shards: DataFrame) -> DataFrame:
     """Files that could not be read, with the number of faulty records."""
-    data = next(c for c in shards.columns if c not in (BAD, "source_file"))
-    # Spark refuses to scan for the corrupt column alone, so the condition also looks at a data column
-    faulty = F.col(BAD).isNotNull() & (F.col(data).isNull() | (F.length(BAD) > 0))
-    return shards.filter(faulty).groupBy("source_file").agg(F.count(F.lit(1)).alias("bad_records"))
+    faulty = shards.filter(F.col(BAD).isNotNull() & _reads_data(shards))
+    return faulty.groupBy("source_file").agg(F.count(F.lit(1)).alias("bad_records"))
 
 
 # ---------------------------------------------------------------- JSON lines
