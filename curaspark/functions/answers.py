@@ -63,20 +63,27 @@ def boxed_content(response: Column) -> Column:
     many openings as closings behind it.
     """
     opening = "\\boxed{"
-    pieces = F.split(F.substring_index(response, opening, -1), "\\}", -1)
-    start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("opened"), F.lit(-1).alias("end"))
-
-    def step(acc, piece):
-        opened = acc["opened"] + F.length(piece) - F.length(F.replace(piece, F.lit("{"), F.lit("")))
-        end = F.when(acc["end"] >= 0, acc["end"]).when(opened == acc["seen"], acc["seen"]).otherwise(F.lit(-1))
-        return F.struct((acc["seen"] + 1).alias("seen"), opened.alias("opened"), end.alias("end"))
-
-    closed = F.slice(pieces, 1, F.size(pieces) - 1)  # the last piece has no closing brace
-    inside = let(
-        F.aggregate(closed, start, step)["end"],
-        lambda end: F.when(end >= 0, strip(F.array_join(F.slice(pieces, 1, end + 1), "}"))),
-    )
-    return F.coalesce(F.when(response.contains(opening), inside), F.lit("None"))
+
+    def nested(tail: Column) -> Column:
+        pieces = F.split(tail, "\\}", -1)
+        closed = F.slice(pieces, 1, F.size(pieces) - 1)  # the last piece has no closing brace
+        start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("opened"), F.lit(-1).alias("end"))
+
+        def step(acc, piece):
+            opened = acc["opened"] + F.length(piece) - F.length(F.replace(piece, F.lit("{"), F.lit("")))
+            end = F.when(acc["end"] >= 0, acc["end"]).when(opened == acc["seen"], acc["seen"]).otherwise(F.lit(-1))
+            return F.struct((acc["seen"] + 1).alias("seen"), opened.alias("opened"), end.alias("end"))
+
+        end = F.aggregate(closed, start, step)["end"]
+        return let(end, lambda e: F.when(e >= 0, F.array_join(F.slice(pieces, 1, e + 1), "}")))
+
+    def inside(tail: Column) -> Column:
+        plain = F.substring_index(tail, "}", 1)
+        simple = tail.contains("}") & ~plain.contains("{")
+        return F.when(simple, plain).otherwise(nested(tail))
+
+    found = F.when(response.contains(opening), let(F.substring_index(response, opening, -1), inside))
+    return F.coalesce(strip(found), F.lit("None"))
 
 
 def tag_or_whole(response: Column, tag: str) -> Column:

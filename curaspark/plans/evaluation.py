@@ -7,6 +7,7 @@ from curaspark.functions.prompts import judge_prompt
 from curaspark.operators import evaluate as ev
 from curaspark.plans.catalog import query
 from curaspark.plans.standins import view, with_views
+from curaspark.session import cut_lineage
 
 ACCURACY_SQL = with_views("eval_records") + r"""
 , boxed AS (
@@ -32,6 +33,11 @@ def _summary(spark, sf):
     return ev.accuracy(view(spark, sf, "eval_records", wide=True))
 
 
+def _kept_summary(spark, sf):
+    """The summary is one row per model and dataset; written once, the comparisons below all read it."""
+    return cut_lineage(_summary(spark, sf))
+
+
 @query("eval_accuracy", ACCURACY_SQL + "SELECT * FROM accuracy_summary ORDER BY model, dataset")
 def eval_accuracy(spark, sf):
     return _summary(spark, sf).orderBy("model", "dataset")
@@ -48,7 +54,7 @@ def eval_accuracy(spark, sf):
          WHERE m.model <> 'base' AND m.dataset <> 'bench_11'""",
 )
 def eval_vs_base(spark, sf):
-    folded = ev.fold_family(ev.exclude_datasets(_summary(spark, sf), ["bench_11"]))
+    folded = ev.fold_family(ev.exclude_datasets(_kept_summary(spark, sf), ["bench_11"]))
     out = ev.versus_base(folded).withColumn("trend", ev.trend(F.col("delta")))
     return out.select("model", "dataset", *[F.round(c, 6).alias(c) for c in ("accuracy", "base_accuracy", "delta")], "trend")
 
@@ -65,7 +71,7 @@ def eval_vs_base(spark, sf):
     FROM sums s JOIN macro USING (model) LEFT JOIN chosen USING (model)""",
 )
 def eval_micro_macro(spark, sf):
-    summary = _summary(spark, sf)
+    summary = _kept_summary(spark, sf)
     means = ev.mean_accuracy(summary, ["bench_3", "bench_4", "bench_5"])
     from pyspark.sql import Window
 
@@ -93,7 +99,7 @@ def eval_micro_macro(spark, sf):
     FROM counted""",
 )
 def eval_verdict(spark, sf):
-    folded = ev.fold_family(_summary(spark, sf))
+    folded = ev.fold_family(_kept_summary(spark, sf))
     is_base = F.col("model") == "base"
     gaps = folded.filter(~(~is_base & (F.col("dataset") == "bench_4")) & ~(is_base & (F.col("dataset") == "bench_5")))
     return ev.verdicts(gaps).withColumn("avg_delta", F.round("avg_delta", 6))
