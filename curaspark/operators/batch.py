@@ -148,7 +148,8 @@ def plan_batches(
     rows = df.select(*key, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     order = ["epoch", *key]
     if seed is not None:
-        rows = rows.withColumn("__hash", F.xxhash64(F.lit(seed), "epoch", *key))
+        parts = [F.lit(str(seed)), *[F.col(c).cast("string") for c in ("epoch", *key)]]
+        rows = rows.withColumn("__hash", F.md5(F.concat_ws(":", *parts)))
         order = ["epoch", "__hash", *key]
     placed = with_position(rows, order)
     n = placed.n // epochs

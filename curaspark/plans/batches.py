@@ -107,7 +107,11 @@ def batch_plan(spark, sf):
     return bt.plan_batches(orders, ["o_orderkey"], 512, epochs=2).withColumn("clamped_size", F.lit(clamped).cast("bigint"))
 
 
-@query("batch_plan_shuffled")
+@query(
+    "batch_plan_shuffled",
+    """WITH h AS (SELECT o_orderkey, e, ROW_NUMBER() OVER (PARTITION BY e ORDER BY md5(CONCAT('42:', e, ':', o_orderkey)), o_orderkey) - 1 AS k FROM orders, range(2) t(e))
+    SELECT o_orderkey, e::INT AS epoch, CAST(floor(k / 512) AS INT) AS batch, CAST(k % 512 AS INT) AS slot FROM h WHERE floor(k / 512) < (SELECT floor(COUNT(*) / 512) FROM orders)""",
+)
 def batch_plan_shuffled(spark, sf):
     return bt.plan_batches(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 512, epochs=2, seed=42)
 

@@ -45,9 +45,7 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 
 def _load() -> None:
-    import importlib.util
     for area in AREAS:
-        if importlib.util.find_spec(f"curaspark.plans.{area}") is None: continue
         importlib.import_module(f"curaspark.plans.{area}")
 
 

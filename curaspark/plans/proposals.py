@@ -289,7 +289,7 @@ def sample_examples_query(spark, sf):
 
 @query(
     "sample_generations",
-    None,
+    """SELECT text AS input, role AS output, conv_id * 1000 + turn AS rollout_id, md5(CONCAT('42:', text, ':', conv_id * 1000 + turn)) AS shuffle_key FROM conversations ORDER BY 4 LIMIT 20""",
 )
 def sample_generations_query(spark, sf):
     turns = view(spark, sf, "turns").select(F.col("text").alias("input"), F.col("role").alias("output"), "rollout_id")

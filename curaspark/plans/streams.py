@@ -1,5 +1,6 @@
 """Streaming queries: the input is written to the shared folder and taken in by Structured Streaming."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from curaspark.plans.catalog import query
@@ -21,20 +22,17 @@ def stream_results(spark, sf):
     return taken.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query(
-    "stream_progress",
-    """WITH t AS (SELECT user_id % 16 AS shard, COUNT(*) AS total FROM events GROUP BY 1) SELECT CONCAT('shard', CAST(shard AS VARCHAR)) AS shard, total AS done, total FROM t""",
-)
+@query("stream_progress", "SELECT user_id % 16 AS shard, COUNT(*) AS done, COUNT(*) AS total FROM events GROUP BY 1")
 def stream_progress(spark, sf):
     folder, out, checkpoint = (shared_path(spark, f"progress-{p}") for p in ("in", "out", "state"))
-    events = table(spark, sf, "events").withColumn("shard", F.concat(F.lit("shard"), (F.col("user_id") % 16).cast("string")))
+    events = table(spark, sf, "events").withColumn("shard", F.col("user_id") % 16)
     total = events.groupBy("shard").agg(F.count(F.lit(1)).alias("total"))
-    # a progress record per part of a shard: how many items were done by then
-    parts = events.groupBy("shard", F.pmod(F.xxhash64("event_id"), F.lit(32)).alias("part")).agg(F.count(F.lit(1)).alias("k"))
-    from pyspark.sql import Window
-
-    done = parts.withColumn("done", F.sum("k").over(Window.partitionBy("shard").orderBy("part")))
-    done.join(total, "shard").select("shard", "done", "total").repartition(4).write.json(folder)
+    # a worker finishes its items in 32 chunks and logs a line after each; one row per shard and chunk from here on
+    chunks = events.groupBy("shard", F.pmod(F.xxhash64("event_id"), F.lit(32)).alias("chunk")).agg(F.count(F.lit(1)).alias("k"))
+    done = F.sum("k").over(Window.partitionBy("shard").orderBy("chunk"))
+    text = F.format_string("  [shard %d] chunk %d/32 (%d/%d)...", "shard", F.col("chunk") + 1, "done", "total")
+    lines = chunks.withColumn("done", done).join(total, "shard").select(F.explode(F.array(text, F.lit("Loading..."))).alias("value"))
+    lines.repartition(4).write.text(folder)
     st.track_progress(spark, folder, out, checkpoint, files_per_batch=2)
     return spark.read.parquet(out)
 

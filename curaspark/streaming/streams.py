@@ -38,13 +38,24 @@ def consume_results(
     run_available(stream, sink, checkpoint)
 
 
+# Fixed value: a progress line of a worker's log, such as "[shard 3] chunk 2/5 (512/1280)...".
+PROGRESS_LINE = r"\[shard (\d+)\] chunk (\d+)/(\d+) \((\d+)/(\d+)\)"
+
+
+def progress_of_lines(lines: DataFrame, line: str = "value") -> DataFrame:
+    """(shard, done, total, chunk, chunks) of the progress lines of a log; other lines are dropped."""
+    names = ["shard", "chunk", "chunks", "done", "total"]
+    parts = [F.regexp_extract(F.col(line), PROGRESS_LINE, i + 1).cast("bigint").alias(n) for i, n in enumerate(names)]
+    return lines.filter(F.col(line).rlike(PROGRESS_LINE)).select(*parts)
+
+
 def track_progress(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_batch: int = 64) -> None:
-    """Items done and total per shard, from progress records (shard, done, total).
+    """Items done and total per shard, from the logs the workers write.
 
     Complete mode holds one row per shard; each batch replaces the small report table at ``out``.
     """
-    stream = spark.readStream.schema("shard STRING, done BIGINT, total BIGINT").option("maxFilesPerTrigger", files_per_batch).json(folder)
-    progress = stream.groupBy("shard").agg(F.max("done").alias("done"), F.max("total").alias("total"))
+    logs = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
+    progress = progress_of_lines(logs).groupBy("shard").agg(F.max("done").alias("done"), F.max("total").alias("total"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(out)
