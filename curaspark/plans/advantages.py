@@ -64,11 +64,11 @@ def filter_online(spark, sf):
 @query(
     "quota_fill",
     ROLLOUTS
-    + """, g AS (SELECT uid, MIN(rollout_id) AS arrival FROM rollouts GROUP BY uid ORDER BY arrival LIMIT 20)
+    + """, g AS (SELECT uid, MIN(rollout_id) AS arrival FROM rollouts GROUP BY uid ORDER BY arrival LIMIT 10)
     SELECT uid, rollout_id, overall FROM rollouts WHERE uid IN (SELECT uid FROM g)""",
 )
 def quota_fill(spark, sf):
-    return adv.fill_quota(view(spark, sf, "rollouts").select("uid", "rollout_id", "overall"), "uid", "rollout_id", 20)
+    return adv.fill_quota(view(spark, sf, "rollouts").select("uid", "rollout_id", "overall"), "uid", "rollout_id", 10)
 
 
 # token arrays of a turn: every word is a token; two-letter words stand in for masked tokens
