@@ -104,8 +104,12 @@ def whiten_sql(source: str, column: str) -> str:
     white AS (SELECT t.*, ({column} - mean) / SQRT(var + 1e-8) AS white FROM {source} t JOIN {column}_stats s ON s.step = t.step)"""
 
 
-def rounded_array(name: str, digits: int = 5):
-    return F.transform(name, lambda x: F.round(x, digits)).alias(name)
+def by_token(df, keys, columns, digits: int = 5):
+    """One row per token, numbered from 1; values rounded, and -0.0 written as 0.0."""
+    spots = df.select(*keys, F.posexplode(F.arrays_zip(*columns)).alias("i", "t"))
+    return spots.select(
+        *keys, (F.col("i") + 1).alias("i"), *[(F.round(F.col(f"t.{c}"), digits) + F.lit(0.0)).alias(c) for c in columns]
+    )
 
 
 @query(
@@ -115,11 +119,11 @@ def rounded_array(name: str, digits: int = 5):
     rel AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY rollout_id, seg ORDER BY i) AS k FROM seg),
     ret AS (SELECT *, SUM(r * POW(0.97::DOUBLE, k)) OVER (PARTITION BY rollout_id, seg ORDER BY i DESC) / POW(0.97::DOUBLE, k) AS ret FROM rel),
     {whiten_sql('ret', 'ret')}
-    SELECT uid, rollout_id, list(ROUND(white, 5) ORDER BY i) AS advantage, list(ROUND(ret, 5) ORDER BY i) AS returns FROM white GROUP BY uid, rollout_id""",
+    SELECT uid, rollout_id, i::INT AS i, ROUND(white, 5) + 0.0 AS advantage, ROUND(ret, 5) + 0.0 AS returns FROM white""",
 )
 def adv_rpp(spark, sf):
     out = adv.advantage("reinforce_plus_plus", token_rows(spark, sf), batch=["step"], gamma=0.97)
-    return out.select("uid", "rollout_id", rounded_array("advantage"), rounded_array("returns"))
+    return by_token(out, ["uid", "rollout_id"], ["advantage", "returns"])
 
 
 @query(
@@ -128,15 +132,14 @@ def adv_rpp(spark, sf):
     + """, sums AS (SELECT rollout_id, SUM(r) AS s FROM tokens GROUP BY rollout_id),
     base AS (SELECT uid, MAX(s) FILTER (turn = 0) AS b FROM sums JOIN (SELECT DISTINCT uid, rollout_id, turn FROM tokens) USING (rollout_id) GROUP BY uid),
     x AS (SELECT t.uid, t.rollout_id, i, (s - b) * m AS a, SUM(r * m) OVER (PARTITION BY t.rollout_id ORDER BY i DESC) AS ret FROM tokens t JOIN sums USING (rollout_id) JOIN base ON base.uid = t.uid WHERE b IS NOT NULL)
-    SELECT uid, rollout_id, list(ROUND(a, 5) + 0 ORDER BY i) AS advantage, list(ROUND(ret, 5) ORDER BY i) AS returns FROM x GROUP BY uid, rollout_id""",
+    SELECT uid, rollout_id, i::INT AS i, ROUND(a, 5) + 0.0 AS advantage, ROUND(ret, 5) + 0.0 AS returns FROM x""",
 )
 def adv_remax(spark, sf):
     rows = token_rows(spark, sf)
     # the first turn of a conversation stands in for the greedy response
     greedy = rows.filter("turn = 0").select("uid", tk.total(F.col("rewards")).alias("baseline"))
     out = adv.advantage("remax", rows.join(greedy, "uid"))
-    plain = F.transform("advantage", lambda x: F.round(x, 5) + F.lit(0.0)).alias("advantage")
-    return out.select("uid", "rollout_id", plain, rounded_array("returns"))
+    return by_token(out, ["uid", "rollout_id"], ["advantage", "returns"])
 
 
 @query(
@@ -146,8 +149,8 @@ def adv_remax(spark, sf):
     est AS (SELECT rollout_id, i, SUM(delta * POW(0.99::DOUBLE * 0.95::DOUBLE, k)) OVER (PARTITION BY rollout_id ORDER BY i DESC) / POW(0.99::DOUBLE * 0.95::DOUBLE, k) AS a FROM on_tokens),
     raw AS (SELECT t.*, COALESCE(FIRST_VALUE(a IGNORE NULLS) OVER (PARTITION BY t.rollout_id ORDER BY t.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS raw FROM tokens t LEFT JOIN est e ON e.rollout_id = t.rollout_id AND e.i = t.i),
     {whiten_sql('raw', 'raw')}
-    SELECT uid, rollout_id, list(ROUND(white, 5) ORDER BY i) AS advantage, list(ROUND(raw + v, 5) ORDER BY i) AS returns FROM white GROUP BY uid, rollout_id""",
+    SELECT uid, rollout_id, i::INT AS i, ROUND(white, 5) + 0.0 AS advantage, ROUND(raw + v, 5) + 0.0 AS returns FROM white""",
 )
 def adv_gae(spark, sf):
     out = adv.advantage("gae", token_rows(spark, sf), batch=["step"], gamma=0.99, lam=0.95)
-    return out.select("uid", "rollout_id", rounded_array("advantage"), rounded_array("returns"))
+    return by_token(out, ["uid", "rollout_id"], ["advantage", "returns"])

@@ -87,11 +87,13 @@ def batch_select(spark, sf):
 
 @query(
     "batch_fold",
-    POSITIONED_SQL + "SELECT CAST(floor(pos / 5) AS BIGINT) AS pos, list(o_orderkey ORDER BY p.pos) AS o_orderkey, list(o_orderpriority ORDER BY p.pos) AS o_orderpriority FROM p GROUP BY floor(pos / 5)",
+    POSITIONED_SQL + "SELECT CAST(floor(pos / 5) AS BIGINT) AS pos, string_agg(o_orderkey::VARCHAR, ' ' ORDER BY p.pos) AS o_orderkey, string_agg(o_orderpriority, ' ' ORDER BY p.pos) AS o_orderpriority FROM p GROUP BY floor(pos / 5)",
 )
 def batch_fold(spark, sf):
     b = _batch(spark, sf)
-    return bt.fold_rows(b, b.n // 5, ["o_orderkey", "o_orderpriority"])
+    folded = bt.fold_rows(b, b.n // 5, ["o_orderkey", "o_orderpriority"])
+    keys = F.transform("o_orderkey", lambda k: k.cast("string"))
+    return folded.select("pos", F.array_join(keys, " ").alias("o_orderkey"), F.array_join("o_orderpriority", " ").alias("o_orderpriority"))
 
 
 @query(

@@ -6,7 +6,7 @@ from curaspark.functions import tokens as tk
 from curaspark.functions.text import words
 from curaspark.operators import advantages as adv
 from curaspark.operators import metrics as mt
-from curaspark.plans.advantages import TOKENS_SQL, rounded_array, token_rows, whiten_sql
+from curaspark.plans.advantages import TOKENS_SQL, by_token, token_rows, whiten_sql
 from curaspark.plans.catalog import query
 from curaspark.plans.rewards import rounded
 from curaspark.plans.standins import view, with_views
@@ -17,6 +17,11 @@ IDS_SQL = (
 )
 
 
+def joined(column, name=None):
+    """An array of whole numbers as one text."""
+    return F.array_join(F.transform(column, lambda x: x.cast("string")), " ").alias(name or column)
+
+
 def _ids(spark, sf):
     ids = F.transform(words(F.col("text")), lambda w: F.length(w))
     return view(spark, sf, "turns", wide=True).select("rollout_id", "step", ids.alias("ids"))
@@ -28,27 +33,27 @@ def _ids(spark, sf):
     + """, ends AS (SELECT rollout_id, ids, list_min(list_filter([list_position(ids, 9), list_position(ids, 11)], lambda p: p > 0)) AS e FROM ids),
     masks AS (SELECT rollout_id, ids, list_transform(ids, lambda x, i: CASE WHEN e IS NULL OR i <= e THEN 1 ELSE 0 END) AS mask FROM ends),
     padded AS (SELECT rollout_id, mask, list_concat([0, 0, 0], mask) AS p FROM masks)
-    SELECT rollout_id, mask, list_transform(p, lambda x, i: GREATEST(0, list_sum(p[1:i]) - 1)::INT) AS position_ids FROM padded""",
+    SELECT rollout_id, array_to_string(mask, ' ') AS mask, array_to_string(list_transform(p, lambda x, i: GREATEST(0, list_sum(p[1:i]) - 1)::INT), ' ') AS position_ids FROM padded""",
 )
 def token_mask(spark, sf):
     rows = _ids(spark, sf).withColumn("mask", tk.response_mask(F.col("ids"), [9, 11]))
     padded = F.concat(F.array_repeat(F.lit(0), 3), "mask")  # three tokens of left padding
-    return rows.withColumn("padded", padded).select("rollout_id", "mask", tk.position_ids(F.col("padded")).alias("position_ids"))
+    return rows.withColumn("padded", padded).select("rollout_id", joined("mask"), joined(tk.position_ids(F.col("padded")), "position_ids"))
 
 
 @query(
     "token_pad",
     IDS_SQL
     + """, s AS (SELECT rollout_id, ids, len(ids) AS n FROM ids)
-    SELECT rollout_id, CASE WHEN n <= 64 THEN list_concat(list_transform(range(64 - n), lambda x: 0), ids) ELSE ids[n - 63:] END AS left_left,
-           CASE WHEN n <= 64 THEN list_concat(ids, list_transform(range(64 - n), lambda x: 0)) ELSE ids[1:64] END AS right_right FROM s""",
+    SELECT rollout_id, array_to_string(CASE WHEN n <= 64 THEN list_concat(list_transform(range(64 - n), lambda x: 0), ids) ELSE ids[n - 63:] END, ' ') AS left_left,
+           array_to_string(CASE WHEN n <= 64 THEN list_concat(ids, list_transform(range(64 - n), lambda x: 0)) ELSE ids[1:64] END, ' ') AS right_right FROM s""",
 )
 def token_pad(spark, sf):
     ids = F.col("ids")
     return _ids(spark, sf).select(
         "rollout_id",
-        tk.pad_or_cut(ids, 64, F.lit(0), left_pad=True, truncation="left").alias("left_left"),
-        tk.pad_or_cut(ids, 64, F.lit(0), left_pad=False, truncation="right").alias("right_right"),
+        joined(tk.pad_or_cut(ids, 64, F.lit(0), left_pad=True, truncation="left"), "left_left"),
+        joined(tk.pad_or_cut(ids, 64, F.lit(0), left_pad=False, truncation="right"), "right_right"),
     )
 
 
@@ -56,11 +61,11 @@ def token_pad(spark, sf):
     "masked_whiten",
     TOKENS_SQL
     + f""", {whiten_sql('tokens', 'r')}
-    SELECT rollout_id, list(ROUND(white, 5) ORDER BY i) AS rewards FROM white GROUP BY rollout_id""",
+    SELECT rollout_id, i::INT AS i, ROUND(white, 5) + 0.0 AS rewards FROM white""",
 )
 def masked_whiten(spark, sf):
     rows = token_rows(spark, sf).select("rollout_id", "step", "rewards", "mask")
-    return adv.masked_whiten(rows, "rewards", "mask", ["step"]).select("rollout_id", rounded_array("rewards"))
+    return by_token(adv.masked_whiten(rows, "rewards", "mask", ["step"]), ["rollout_id"], ["rewards"])
 
 
 @query(
