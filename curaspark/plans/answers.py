@@ -119,6 +119,7 @@ def difficulty(spark, sf):
     SELECT model, dataset, COUNT(*) AS n, ROUND(SUM(0.9 * a_box + 0.1 * f_solver), 4) AS solver_overall, ROUND(SUM(f_solver), 4) AS solver_format, ROUND(SUM(a_box), 4) AS accuracy,
            ROUND(SUM(0.9 * a_box + 0.1 * f_math), 4) AS math_overall, ROUND(SUM(0.5 * a_tag + 0.5 * f_tag), 4) AS tag_overall
     FROM flags GROUP BY model, dataset""",
+    doubles=("solver_overall", "solver_format", "accuracy", "math_overall", "tag_overall",),
 )
 def reward_solver(spark, sf):
     records = view(spark, sf, "eval_records", wide=True)
@@ -164,6 +165,7 @@ MATH_ANSWERS = """SELECT uid, rollout_id, text, length(text) AS n_chars,
       ROUND(CASE WHEN uid % 5 = 1 THEN -1.0 WHEN rollout_id % 1000 % 6 IN (3, 4) THEN -1.0 ELSE 1.0 END + 0.5 * CASE WHEN n_chars <= 200 THEN 0.0 WHEN n_chars <= 300 THEN (200 - n_chars) / 100.0::DOUBLE ELSE -1.0 END, 6) AS overall,
       CASE WHEN uid % 5 = 1 THEN 0.0 WHEN rollout_id % 1000 % 6 IN (3, 4) THEN 0.0 ELSE 1.0 END AS accuracy_normalized
     FROM r""",
+    doubles=("accuracy", "accuracy_normalized",),
 )
 def reward_dapo(spark, sf):
     m = spark.sql(MATH_ANSWERS, turns=view(spark, sf, "turns"))
@@ -189,6 +191,7 @@ def reward_dapo(spark, sf):
     """SELECT event_id, CAST(regexp_extract(CONCAT(event_type, props), '[012]') AS VARCHAR) AS predicted,
               CASE WHEN regexp_extract(CONCAT(event_type, props), '[012]') = CASE WHEN event_id % 4 = 3 THEN '' ELSE CAST(event_id % 4 AS VARCHAR) END THEN 1.0 ELSE 0.0 END AS overall
        FROM events""",
+    doubles=("overall",),
 )
 def reward_choice(spark, sf):
     events = table(spark, sf, "events")

@@ -43,6 +43,7 @@ def asm_solver_rejects(spark, sf):
     with_views("evaluated")
     + f"""SELECT {TRAIN_COLUMNS_SQL.replace(', hard_consistency, easy_consistency', ', -1.0 AS hard_consistency, -1.0 AS easy_consistency')}
           FROM evaluated WHERE {USABLE_SQL} AND score BETWEEN 0.3 AND 0.8""",
+    doubles=("hard_consistency", "easy_consistency",),
 )
 def asm_solver_train_legacy(spark, sf):
     old = view(spark, sf, "evaluated", wide=True).drop("hard_consistency").withColumn("easy_consistency", F.lit(-1.0))

@@ -30,8 +30,13 @@ AREAS = [
 ]
 
 
-def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
-    """Register ``fn(spark, sf_dir)`` under ``name``; ``sql`` is the text DuckDB runs on the same tables."""
+def query(name: str, sql: str | None = None, doubles: tuple[str, ...] = ()) -> Callable[[QueryFn], QueryFn]:
+    """Register ``fn(spark, sf_dir)`` under ``name``; ``sql`` is the text DuckDB runs on the same tables.
+
+    ``doubles`` names columns that DuckDB would give as decimals, because the SQL writes them as decimal literals.
+    """
+    if sql is not None and doubles:
+        sql = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in doubles)}) FROM ({sql})"
 
     def register(fn: QueryFn) -> QueryFn:
         if name in _QUERIES:

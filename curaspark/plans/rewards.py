@@ -93,6 +93,7 @@ def _proposer(spark, sf):
     PROPOSER_SQL
     + """SELECT proposal_id, step, ROUND(overall, 6) AS overall, format, num_rendered, num_rollouts, ROUND(avg_solvability, 6) AS avg_solvability, ROUND(avg_difficulty, 6) AS avg_difficulty,
                 n_capped, easy_hard_penalty, ROUND(content_type_diversity_bonus, 6) AS content_type_diversity_bonus FROM rewards""",
+    doubles=("format",),
 )
 def proposer_reward(spark, sf):
     out = rounded(_proposer(spark, sf), "overall", "avg_solvability", "avg_difficulty", "content_type_diversity_bonus")
@@ -108,6 +109,7 @@ def proposer_reward(spark, sf):
     + """SELECT step, COUNT(*) AS n, COUNT(*) FILTER (format > 0) AS format_ok, ROUND(AVG(num_rendered) FILTER (format > 0), 6) AS avg_rendered, ROUND(AVG(avg_solvability) FILTER (format > 0), 6) AS avg_solvability,
          ROUND(AVG(avg_difficulty) FILTER (format > 0), 6) AS avg_difficulty, SUM(n_capped)::BIGINT AS n_capped, COUNT(*) FILTER (easy_hard_penalty < 0) AS n_penalized,
          ROUND(AVG(content_type_diversity_bonus) FILTER (format > 0), 6) AS avg_content_type, 0.0 AS avg_caption_div, ROUND(AVG(overall), 6) AS avg_overall FROM rewards GROUP BY step""",
+    doubles=("avg_caption_div",),
 )
 def reward_summary(spark, sf):
     out = rw.proposer_summary(_proposer(spark, sf), ["step"]).drop("avg_vt_bonus", "avg_cross_step")
@@ -143,6 +145,7 @@ def _codegen(spark, sf):
     "codegen_reward",
     CODEGEN_SQL
     + "SELECT response_id, step, renderability, ROUND(solvability, 6) AS solvability, ROUND(difficulty, 6) AS difficulty, type_compliant, ROUND(overall, 6) AS overall FROM coded",
+    doubles=("renderability", "type_compliant",),
 )
 def codegen_reward(spark, sf):
     out = rounded(_codegen(spark, sf), "solvability", "difficulty", "overall")
