@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import chat, dedup, html_extract, mixing, quality, secret_scan
+from curaspark.llm import chat, dedup, html_extract, mixing, packing, quality, secret_scan, simhash
 from curaspark.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizers are installed, on the driver and on every executor alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = secret_scan.secret_report(table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
@@ -30,6 +41,11 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select("page_id", "url", text.alias("text"), F.char_length(text).cast("bigint").alias("n_chars"))
 
 
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -53,7 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFn] = {
     f.__name__: f
-    for f in (op2_secret_scan, op3_html_extract, op7_chat_format, op8_mix_sources, op9_quality_rules, op10_exact_dedup)
+    for f in (op1_best_fit_pack, op2_secret_scan, op3_html_extract, op5_simhash_groups, op7_chat_format, op8_mix_sources, op9_quality_rules, op10_exact_dedup)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
