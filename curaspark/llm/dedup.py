@@ -26,7 +26,13 @@ from pyspark.sql import types as T
 from curaspark.session import cut_lineage, shared_path
 
 FILES_PER_BATCH = 1000
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BROADCAST_ROWS = 200_000  # digests; above it the join that looks for them shuffles
+#: On disk, without space set aside ahead (megabytes per partition), and with changes rather than copies written per batch.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -39,9 +45,8 @@ def sha256(text: Column) -> Column:
 
 
 @contextmanager
-def _conf(spark: SparkSession, **values: str) -> Iterator[None]:
+def _conf(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Settings for the queries started within."""
-    values = {k.replace("__", "."): v for k, v in values.items()}
     before = {k: spark.conf.get(k, None) for k in values}
     for k, v in values.items():
         spark.conf.set(k, v)
@@ -64,7 +69,7 @@ def keyed_state(arrivals: str, schema, state: str, out: str, spark: SparkSession
     def changes(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a batch that runs again replaces itself
 
-    with _conf(spark, spark__sql__streaming__stateStore__providerClass=STORE):
+    with _conf(spark, STORE):
         query = keyed.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(changes).start()
         query.awaitTermination()
     changed = spark.read.option("basePath", out).schema(keyed.schema.add("batch", T.LongType())).parquet(out)
@@ -88,6 +93,8 @@ def exact_groups(
 
     # hits: the texts behind a repeated digest, grouped by their bytes (equal ones merge before they are shuffled)
     repeated = state.filter("group_size > 1").select("digest")
+    if repeated.count() <= BROADCAST_ROWS:
+        repeated = F.broadcast(repeated)
     behind = texts.select("key", "content", digest(F.col("content")).alias("digest")).join(repeated, "digest", "left_semi")
     contents = cut_lineage(behind.groupBy("digest", "content").agg(F.min("key").alias("least"), F.count_if(F.col("key").isNull()).alias("nulls"), F.count(F.lit(1)).alias("rows")))
     shared = contents.groupBy("digest").count().filter("count > 1").select("digest")
