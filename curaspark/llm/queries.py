@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import chat, dedup, html_extract, mixing, packing, quality, secret_scan, simhash
+from curaspark.llm import chat, dedup, html_extract, lm, mixing, packing, quality, secret_scan, simhash, toxicity
 from curaspark.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -41,11 +41,30 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select("page_id", "url", text.alias("text"), F.char_length(text).cast("bigint").alias("n_chars"))
 
 
+def remainder(parts: int) -> Column:
+    """crc32 of the identifier as text, modulo ``parts``: the folds of the labelled and of the language-model operators."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.learned(documents, table(spark, sf_dir, "labels"), training=remainder(5) != 0)
+    scores = toxicity.scored(documents, model)
+    held_out = F.coalesce(remainder(5) == 0, F.lit(True))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm.lm_scores(table(spark, sf_dir, "documents"), tokenizer_path(), training=remainder(7) != 2)
+    held_out = F.coalesce(remainder(7) == 2, F.lit(True))
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -69,7 +88,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFn] = {
     f.__name__: f
-    for f in (op1_best_fit_pack, op2_secret_scan, op3_html_extract, op5_simhash_groups, op7_chat_format, op8_mix_sources, op9_quality_rules, op10_exact_dedup)
+    for f in (op1_best_fit_pack, op2_secret_scan, op3_html_extract, op4_toxicity, op5_simhash_groups, op6_lm_score, op7_chat_format, op8_mix_sources, op9_quality_rules, op10_exact_dedup)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
