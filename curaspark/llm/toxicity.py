@@ -192,12 +192,12 @@ def pool(model: Model, texts: list[np.ndarray], vectors) -> np.ndarray:
             return
         owner = np.array([i for i, _ in stretches])
         starts = np.concatenate(([0], np.cumsum([len(s) for _, s in stretches])))
-        x = vectors(np.concatenate([s for _, s in stretches]))
+        x = vectors(np.concatenate([*(s for _, s in stretches), empty[:1]]))  # one place more, so that the last bound is a row
         for k in range(len(WIDTHS)):
             y = model.responses(x, k)
             # windows that begin in the empty places behind a text are not its windows
             bounds = np.stack([starts[:-1], starts[1:] - tail], axis=1).ravel()
-            top = np.maximum.reduceat(y, np.minimum(bounds, len(y) - 1), axis=0)[::2]
+            top = np.maximum.reduceat(y, bounds, axis=0)[::2]
             np.maximum.at(pooled[:, k * FILTERS : (k + 1) * FILTERS], owner, top + model.biases[k])
         stretches.clear()
         size = 0
@@ -309,8 +309,12 @@ def calibrate(model: Model, rows: list[tuple[int, int, np.ndarray]], least: int
 
     A language with fewer than ``least`` rows of either kind takes the threshold over all languages.
     """
-    table: list[np.ndarray] = [f for _, _, f in rows]
-    logits = np.array([model.logit(pool(model, [np.arange(len(f))], lambda ids, f=f: model.vectors(padded(f)[: len(ids)] if len(f) else padded(f)))) for f in table]).ravel()
+    logits = []
+    for _, _, features in rows:
+        places = np.concatenate([np.zeros_like(features, shape=(1, 1 + len(LETTERS))), features])  # 0 is the empty place
+        pooled = pool(model, [np.arange(1, len(places))], lambda ids: model.vectors(places[ids]))  # noqa: B023
+        logits.append(model.logit(pooled)[0])
+    logits = np.array(logits)
     toxic, spoken = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     overall = best_threshold(logits, toxic)
     for i in range(len(LANGUAGES)):
