@@ -115,25 +115,38 @@ def vote_text(answer: Column) -> Column:
 
 
 def canonical(answer: Column) -> Column:
-    """One spelling per value: numbers, percentages, money and simple fractions meet on their numeric value."""
+    """One spelling per value: numbers, percentages, money and simple fractions meet on their numeric value.
 
-    def number_key(number: Column) -> Column:
-        return F.concat(F.lit("\x00n"), (F.round(number, 9) + F.lit(0.0)).cast("string"))
+    Numbers are compared by their digits, so long ones stay exact; fractions by nine decimals of their quotient. A comma
+    between whole groups of three digits is dropped, but not inside brackets, where it parts the members of a tuple or
+    an interval. Powers of ten (``1.5e3``) and mixed numbers (``2 1/2``) are texts, not numbers.
+    """
+
+    def digits_key(number: Column) -> Column:
+        whole = F.regexp_extract(number, r"\A[-+]?0*(\d*)", 1)
+        part = F.regexp_replace(F.regexp_extract(number, r"\.(\d*)\z", 1), r"0+\z", "")
+        digits = F.concat(whole, F.when(part != "", F.concat(F.lit("."), part)).otherwise(F.lit("")))
+        sign = F.when(number.startswith("-") & (digits != ""), F.lit("-")).otherwise(F.lit(""))
+        return F.concat(F.lit("\x00n"), sign, F.when(digits == "", F.lit("0")).otherwise(digits))
+
+    def without_signs(s: Column) -> Column:
+        tuple_or_interval = s.rlike(r"[(\[].*,.*[)\]]")
+        return F.when(tuple_or_interval, F.regexp_replace(s, r"[$%]", "")).otherwise(F.regexp_replace(s, r"[$%]|(?<=\d),(?=\d{3}(?!\d))", ""))
 
-    plain = F.rtrim(F.regexp_replace(F.lower(collapse_spaces(answer)), r"[$%]|(?<=\d),(?=\d{3})", ""), F.lit(". "))
+    plain = F.rtrim(let(F.lower(collapse_spaces(answer)), without_signs), F.lit(". "))
     plain = F.regexp_replace(F.ltrim(plain), r"\\[dt]?frac\{([^{}]*)\}\{([^{}]*)\}", "$1/$2")
 
     def value(s: Column) -> Column:
         ratio = F.regexp_extract_all(s, F.lit(r"[-+]?\d+(?:\.\d+)?"), 0)
         quotient = F.try_divide(F.get(ratio, F.lit(0)).try_cast("double"), F.get(ratio, F.lit(1)).try_cast("double"))
-        number = F.when(s.rlike(r"\A[-+]?(\d+(\.\d*)?|\.\d+)\z"), s.try_cast("double")).when(
-            s.rlike(r"\A[-+]?\d+(\.\d+)? ?/ ?[-+]?\d+(\.\d+)?\z"), quotient
+        number = F.when(s.rlike(r"\A[-+]?(\d+(\.\d*)?|\.\d+)\z"), s).when(
+            s.rlike(r"\A[-+]?\d+(\.\d+)? ?/ ?[-+]?\d+(\.\d+)?\z"), F.round(quotient, 9).try_cast("decimal(38,9)").cast("string")
         )
-        return F.coalesce(number_key(number), s)
+        return F.coalesce(digits_key(number), s)
 
     # most answers are plain short numbers: settle those without the rewriting
     short = (F.length(answer) <= 20) & answer.rlike(r"\A *[-+]?\d+(\.\d+)? *\z")
-    return F.when(short, number_key(F.trim(answer).try_cast("double"))).otherwise(let(plain, value))
+    return F.when(short, digits_key(F.trim(answer))).otherwise(let(plain, value))
 
 
 def same_answer(a: Column, b: Column) -> Column:

@@ -33,13 +33,14 @@ def mean_metrics(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], p
     return means.unpivot(list(keys), [f"`{prefix}{m}{suffix}`" for m in metrics], "metric", "value")
 
 
-def nest_metrics(reduced: DataFrame, keys: Sequence[str], value: Column | None = None, depth: int = 3) -> DataFrame:
-    """One JSON object per step, metric names nested at '/'. ``depth`` is the largest number of name parts.
+def nest_metrics(reduced: DataFrame, keys: Sequence[str], value: Column | None = None) -> DataFrame:
+    """One JSON object per step, metric names nested at '/', as deep as the names go.
 
     Input is one row per (step, metric name): a handful of rows per step.
     """
     text = F.col("value").cast("string") if value is None else value
     level = reduced.select(*keys, F.split("metric", "/").alias("path"), text.alias("json"))
+    depth = level.agg(F.max(F.size("path"))).first()[0] or 0
     for size in range(depth, 0, -1):
         deep, rest = level.filter(F.size("path") == size), level.filter(F.size("path") != size)
         entry = F.concat(F.lit('"'), F.element_at("path", -1), F.lit('":'), F.col("json"))
@@ -50,11 +51,11 @@ def nest_metrics(reduced: DataFrame, keys: Sequence[str], value: Column | None =
     return level.select(*keys, F.col("json").alias("log"))
 
 
-def flatten_metrics(logs: DataFrame, keys: Sequence[str], log: str = "log", depth: int = 3) -> DataFrame:
-    """The inverse of ``nest_metrics``: (keys, metric, value) from nested JSON objects."""
+def flatten_metrics(logs: DataFrame, keys: Sequence[str], log: str = "log") -> DataFrame:
+    """The inverse of ``nest_metrics``: (keys, metric, value) from JSON objects nested to any depth."""
     level = logs.select(*keys, F.lit("").alias("metric"), F.col(log).alias("json"))
     done = None
-    for _ in range(depth):
+    while done is None or not level.isEmpty():
         opened = level.select(*keys, "metric", F.explode(F.from_json("json", "map<string,string>")).alias("k", "json"))
         name = F.when(F.col("metric") == "", F.col("k")).otherwise(F.concat_ws("/", "metric", "k"))
         opened = opened.select(*keys, name.alias("metric"), "json")

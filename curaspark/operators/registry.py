@@ -8,15 +8,16 @@ Kinds
 ``legacy_batch``  fn(predicts, ground_truths, [questions, description_answers, images], **options) -> list[dict]
 
 Inputs are response, response_length and ground_truth, and where the table has them question, description_answers and
-images. Every score must hold ``overall``; further numbers become metrics. Python functions see one Arrow batch of rows
-at a time, so a score must not depend on which other rows are in the list.
+images. Every score must hold ``overall``; further numbers become metrics. A ``batch`` or ``legacy_batch`` function gets
+the rows of one batch at once, as the columns that name a batch tell, in the order asked for; a batch is what a trainer
+scores in one call, so it fits into a task. A ``sequential`` function sees a row at a time, wherever the row lies.
 """
 
 from __future__ import annotations
 
 import importlib.util
 import inspect
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -24,6 +25,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from curaspark.functions.prompts import images_or_image, question_or_prompt
 
@@ -111,8 +113,21 @@ def _call(reward: Reward, rows: list[dict[str, Any]]) -> list[dict[str, float]]:
     return fn([r["response"] for r in rows], [r["ground_truth"] for r in rows], **more)
 
 
-def score_rows(rows: DataFrame, name: str, out: str = "reward") -> DataFrame:
-    """Add a struct (overall, metrics) with the scores of a registered reward."""
+def _checked(reward: Reward, rows: list[dict[str, Any]]) -> dict[str, list]:
+    scores = _call(reward, rows)
+    if len(scores) != len(rows):
+        raise ValueError(f"reward {reward.name} gave {len(scores)} scores for {len(rows)} rows")
+    if any("overall" not in s for s in scores):
+        raise ValueError(f"reward {reward.name} gave a score without overall")
+    return {"overall": [float(s["overall"]) for s in scores], "metrics": [{k: float(v) for k, v in s.items() if k != "overall"} for s in scores]}
+
+
+def score_rows(rows: DataFrame, name: str, out: str = "reward", batch: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
+    """Add a struct (overall, metrics) with the scores of a registered reward.
+
+    ``batch`` names the columns whose values make up a batch, ``order`` those that order the rows within; both are for
+    rewards that see a whole batch, which are refused without ``batch``.
+    """
     if name not in REWARDS:
         raise ValueError(f"unknown reward {name}; known: {sorted(REWARDS)}")
     reward = REWARDS[name]
@@ -127,19 +142,27 @@ def score_rows(rows: DataFrame, name: str, out: str = "reward") -> DataFrame:
         metrics = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
         return scored.withColumn(out, F.struct(F.col("__score.overall").cast("double").alias("overall"), metrics.alias("metrics"))).drop("__score")
 
-    @F.pandas_udf(SCORE)
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            scores = _call(reward, pdf.to_dict("records"))
-            if len(scores) != len(pdf):
-                raise ValueError(f"reward {name} gave {len(scores)} scores for {len(pdf)} rows")
-            if any("overall" not in s for s in scores):
-                raise ValueError(f"reward {name} gave a score without overall")
-            yield pd.DataFrame(
-                {
-                    "overall": [float(s["overall"]) for s in scores],
-                    "metrics": [{k: float(v) for k, v in s.items() if k != "overall"} for s in scores],
-                }
-            )
-
-    return rows.withColumn(out, run(F.struct(*[c.alias(k) for k, c in inputs.items()])))
+    if reward.kind == "sequential":
+
+        @F.pandas_udf(SCORE)
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                yield pd.DataFrame(_checked(reward, pdf.to_dict("records")))
+
+        return rows.withColumn(out, run(F.struct(*[c.alias(k) for k, c in inputs.items()])))
+
+    if not batch:
+        raise ValueError(f"reward {name} sees a whole batch: name the columns that tell batches apart")
+
+    columns, names, by = rows.columns, list(inputs), list(order)
+
+    def score_batch(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(by, kind="stable") if by else pdf
+        given = pdf[[f"__in_{k}" for k in names]].rename(columns=lambda c: c.removeprefix("__in_"))
+        scores = _checked(reward, given.to_dict("records"))
+        return pdf[columns].assign(__overall=scores["overall"], __metrics=scores["metrics"])
+
+    shaped = rows.withColumns({f"__in_{k}": c for k, c in inputs.items()})
+    schema = StructType(rows.schema.fields + StructType.fromDDL("__overall double, __metrics map<string,double>").fields)
+    scored = shaped.groupBy(*batch).applyInPandas(score_batch, schema)
+    return scored.withColumn(out, F.struct(F.col("__overall").alias("overall"), F.col("__metrics").alias("metrics"))).drop("__overall", "__metrics")

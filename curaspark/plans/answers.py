@@ -12,17 +12,15 @@ from curaspark.functions.rewards import (
 )
 from curaspark.operators import votes
 from curaspark.plans.catalog import query
-from curaspark.plans.standins import table, view, with_views
+from curaspark.plans.standins import answer_key_sql, table, view, with_views
 
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
-# vote key written for the answers of the stand-in view: blanks trimmed, numbers by value, the 'no ' class
 KEYED_SQL = (
     with_views("answers")
-    + """, keyed AS (
+    + f""", keyed AS (
   SELECT question_id, answer, ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos,
-         CASE WHEN contains(lower(answer), 'no ') THEN 'no' WHEN TRY_CAST(trim(answer) AS DOUBLE) IS NOT NULL THEN CAST(TRY_CAST(trim(answer) AS DOUBLE) AS VARCHAR)
-              ELSE lower(trim(answer)) END AS k,
+         {answer_key_sql('answer')} AS k,
          lower(trim(answer)) IN ('', 'none', 'n/a', 'na', 'null', 'unknown', '-') AS bad
   FROM answers)
 """
@@ -64,7 +62,7 @@ SILVER = """SELECT o_orderkey AS question_id, CASE WHEN o_orderkey % 9 = 0 THEN
 SOLVABILITY_SQL = (
     KEYED_SQL
     + f""", silver AS ({SILVER}),
-shares AS (SELECT s.question_id, AVG(CASE WHEN s.silver <> '' AND k.k = CAST(CAST(s.silver AS DOUBLE) AS VARCHAR) THEN 1.0 ELSE 0.0 END) AS share
+shares AS (SELECT s.question_id, AVG(CASE WHEN s.silver <> '' AND k.k = CAST(CAST(s.silver AS DECIMAL(38,12)) AS VARCHAR) THEN 1.0 ELSE 0.0 END) AS share
            FROM keyed k JOIN (SELECT question_id, NULLIF(silver, '') AS silver FROM silver) s USING (question_id) GROUP BY s.question_id)
 """
 )

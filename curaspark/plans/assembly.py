@@ -7,7 +7,7 @@ from curaspark.operators import assemble, votes
 from curaspark.plans.answers import ORDER
 from curaspark.plans.catalog import query
 from curaspark.plans.proposals import FIELDS, PROMPT_SQL, STRICT_SQL, _loose_sql, strict
-from curaspark.plans.standins import table, view, with_views
+from curaspark.plans.standins import answer_key_sql, table, view, with_views
 
 IMAGE_OK_SQL = "(length(image) > 100 AND (starts_with(image, 'data:image') OR length(image) > 200))"
 USABLE_SQL = f"(answer NOT IN ('', 'None') AND {IMAGE_OK_SQL})"
@@ -108,7 +108,7 @@ def filter_render_rate(spark, sf):
 
 
 def _halves_sql(half: str, name: str) -> str:
-    return f"""{name}_k AS (SELECT question_id, CASE WHEN contains(lower(answer), 'no ') THEN 'no' WHEN TRY_CAST(trim(answer) AS DOUBLE) IS NOT NULL THEN CAST(TRY_CAST(trim(answer) AS DOUBLE) AS VARCHAR) ELSE answer END AS k,
+    return f"""{name}_k AS (SELECT question_id, {answer_key_sql('answer')} AS k,
         row(l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, answer FROM answers WHERE part = '{half}'),
     {name}_c AS (SELECT question_id, k, COUNT(*) AS n, MIN(pos) AS pos, arg_min(answer, pos) AS answer FROM {name}_k GROUP BY question_id, k),
     {name}_r AS (SELECT question_id, answer, n, ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY n DESC, pos) AS r, SUM(n) OVER (PARTITION BY question_id) AS total FROM {name}_c),

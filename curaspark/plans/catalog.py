@@ -18,6 +18,7 @@ AREAS = [
     "proposals",
     "assembly",
     "rewards",
+    "user_rewards",
     "advantages",
     "tokens",
     "metrics",

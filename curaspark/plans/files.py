@@ -88,15 +88,20 @@ def io_dataset_open(spark, sf):
     return train.unionByName(test)
 
 
+# metric names of one to five parts
+METRIC_NAME = """CONCAT(CASE user_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'reward/' WHEN 2 THEN 'reward/detail/' WHEN 3 THEN 'val/reward/detail/'
+    ELSE 'val/reward/detail/by_kind/' END, event_type)"""
+
+
 @query(
     "io_metric_log",
-    """SELECT CAST(event_id % 10 AS INT) AS step, CONCAT('reward/', event_type) AS metric, ROUND(AVG(value), 9) AS value FROM events GROUP BY 1, 2""",
+    f"SELECT CAST(event_id % 10 AS INT) AS step, {METRIC_NAME} AS metric, ROUND(AVG(value), 9) AS value FROM events GROUP BY 1, 2",
 )
 def io_metric_log(spark, sf):
     from curaspark.operators.metrics import flatten_metrics, nest_metrics
 
     events = table(spark, sf, "events")
-    means = events.groupBy((F.col("event_id") % 10).cast("int").alias("step"), F.concat(F.lit("reward/"), "event_type").alias("metric"))
+    means = events.groupBy((F.col("event_id") % 10).cast("int").alias("step"), F.expr(METRIC_NAME).alias("metric"))
     logs = nest_metrics(means.agg(F.avg("value").alias("value")), ["step"])
     path = shared_path(spark, "log")
     # two appends, as two stages of a run would write them

@@ -9,7 +9,7 @@ from curaspark.operators.groups import attach
 from curaspark.plans.answers import ORDER, SERVICE_SQL
 from curaspark.plans.catalog import query
 from curaspark.plans.proposals import CODE_SQL, SUBTYPE_SQL, codes
-from curaspark.plans.standins import view, with_views
+from curaspark.plans.standins import answer_key_sql, view, with_views
 
 
 def rounded(df, *columns):
@@ -50,20 +50,13 @@ def content_type_penalty(spark, sf):
 REWARD_VIEWS = ("proposal_rows", "proposal_samples", "easy_rollouts", "hard_rollouts")
 
 
-def _key_sql(answer: str) -> str:
-    return (
-        f"CASE WHEN contains(lower({answer}), 'no ') THEN 'no' WHEN TRY_CAST(trim({answer}) AS DOUBLE) IS NOT NULL "
-        f"THEN CAST(TRY_CAST(trim({answer}) AS DOUBLE) AS VARCHAR) ELSE lower(trim({answer})) END"
-    )
-
-
 PROPOSER_SQL = (
     with_views(*REWARD_VIEWS)
     + PENALTY_SQL
     + f""", solved AS (SELECT s.proposal_id, s.sample_id, AVG(CASE WHEN TRY_CAST(trim(e.answer) AS DOUBLE) = TRY_CAST(p.easy_answer AS DOUBLE) THEN 1.0 ELSE 0.0 END) AS solv
   FROM proposal_samples s JOIN proposal_rows p USING (proposal_id) JOIN easy_rollouts e ON e.proposal_id = s.proposal_id AND e.sample_id = s.sample_id
   WHERE s.is_rendered GROUP BY 1, 2),
-classes AS (SELECT proposal_id, sample_id, {_key_sql('answer')} AS k, COUNT(*) AS n FROM hard_rollouts WHERE lower(trim(answer)) <> 'n/a' GROUP BY 1, 2, 3),
+classes AS (SELECT proposal_id, sample_id, {answer_key_sql('answer')} AS k, COUNT(*) AS n FROM hard_rollouts WHERE lower(trim(answer)) <> 'n/a' GROUP BY 1, 2, 3),
 hard AS (SELECT proposal_id, sample_id, MAX(n) / SUM(n) AS score FROM classes GROUP BY 1, 2),
 scored AS (SELECT s.proposal_id, s.sample_id, COALESCE(solv, 0.0) AS solv, COALESCE(LEAST(score, 1 - score), 0.0) AS diff
   FROM proposal_samples s LEFT JOIN solved USING (proposal_id, sample_id) LEFT JOIN hard USING (proposal_id, sample_id) WHERE s.is_rendered),
@@ -118,7 +111,7 @@ def reward_summary(spark, sf):
 
 CODEGEN_SQL = (
     SERVICE_SQL.replace("WITH ", CODE_SQL + ", ", 1)
-    + f""", easy AS (SELECT question_id, AVG(CASE WHEN question_id % 4 <> 0 AND k = CAST(CAST(question_id % 4 AS DOUBLE) AS VARCHAR) THEN 1.0 ELSE 0.0 END) AS solv FROM keyed GROUP BY question_id),
+    + f""", easy AS (SELECT question_id, AVG(CASE WHEN question_id % 4 <> 0 AND k = CAST(CAST(question_id % 4 AS DECIMAL(38,12)) AS VARCHAR) THEN 1.0 ELSE 0.0 END) AS solv FROM keyed GROUP BY question_id),
 shaped AS (SELECT c.response_id, c.step, c.svg_code AS code, c.response_id % 4 <> 1 AS rendered, CASE WHEN c.response_id % 4 = 0 THEN 0.0 ELSE COALESCE(solv, 0.0) END AS solv,
     COALESCE(LEAST(score, 1 - score), 0.0) AS diff FROM codes c LEFT JOIN easy e ON e.question_id = c.response_id LEFT JOIN voted v ON v.question_id = c.response_id),
 flagged AS (SELECT *, trim(code) = '' AS empty, (trim(code) <> '' AND (starts_with(trim(code), '<') OR contains(lower(code), '<svg'))) AS ok FROM shaped),

@@ -18,11 +18,19 @@ VIEWS: dict[str, str] = {
         SELECT user_id AS uid, event_id AS rollout_id, CAST(event_id % 10 AS INT) AS step,
                ROUND(LEAST(value, 100.0) / 100.0, 6) AS overall, event_type AS kind
         FROM {events}""",
-    # one solver answer per order line; some are non-answers
+    # one solver answer per order line, in the notations a solver may choose; some are non-answers
     "answers": """
         SELECT l_orderkey AS question_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_linestatus AS part,
                CASE WHEN CAST(l_quantity AS INT) % 11 = 0 THEN 'N/A'
                     WHEN CAST(l_quantity AS INT) % 13 = 0 THEN CONCAT('no change ', CAST(CAST(l_quantity AS INT) AS VARCHAR(8)))
+                    WHEN l_partkey % 19 = 0 THEN CONCAT('$', CAST(CAST(l_quantity AS INT) % 4 AS VARCHAR(8)), '.00')
+                    WHEN l_partkey % 23 = 0 THEN CONCAT(CAST(CAST(l_quantity AS INT) % 4 AS VARCHAR(8)), '%')
+                    WHEN l_partkey % 29 = 0 THEN CONCAT(CAST(CAST(l_quantity AS INT) % 4 * 3 AS VARCHAR(8)), '/3')
+                    WHEN l_partkey % 31 = 0 THEN CASE WHEN l_suppkey % 2 = 0 THEN '12,345' ELSE '12345.0' END
+                    WHEN l_partkey % 37 = 0 THEN CASE WHEN l_suppkey % 2 = 0 THEN '(1,2000)' ELSE '(12,000)' END
+                    WHEN l_partkey % 41 = 0 THEN CASE WHEN l_suppkey % 2 = 0 THEN '12345678901234567' ELSE '12345678901234568' END
+                    WHEN l_partkey % 43 = 0 THEN CASE WHEN l_suppkey % 2 = 0 THEN '0.0000000001' ELSE '-0.50' END
+                    WHEN l_partkey % 47 = 0 THEN CASE WHEN l_suppkey % 2 = 0 THEN '1.5e3' ELSE '2 1/2' END
                     WHEN CAST(l_quantity AS INT) % 2 = 0 THEN CONCAT(' ', CAST(CAST(l_quantity AS INT) % 4 AS VARCHAR(8)))
                     WHEN CAST(l_quantity AS INT) % 5 = 0 THEN CONCAT(CAST(CAST(l_quantity AS INT) % 4 AS VARCHAR(8)), '.0')
                     ELSE CAST(CAST(l_quantity AS INT) % 4 AS VARCHAR(8)) END AS answer
@@ -109,6 +117,17 @@ VIEWS: dict[str, str] = {
 }
 
 
+def answer_key_sql(answer: str) -> str:
+    """The vote key of an answer of the stand-in tables, in the SQL of the comparison: the 'no ' class, numbers by value, texts."""
+    plain = f"rtrim(regexp_replace(lower(trim({answer})), '[$%]', '', 'g'), '. ')"
+    plain = f"CASE WHEN regexp_matches({plain}, '^[-+]?\\d{{1,3}}(,\\d{{3}})+$') THEN replace({plain}, ',', '') ELSE {plain} END"
+    ratio = f"round(CAST(split_part({plain}, '/', 1) AS DOUBLE) / CAST(split_part({plain}, '/', 2) AS DOUBLE), 9)"
+    return (
+        f"CASE WHEN contains(lower({answer}), 'no ') THEN 'no' WHEN regexp_matches({plain}, '^[-+]?(\\d+(\\.\\d*)?|\\.\\d+)$') THEN CAST(CAST({plain} AS DECIMAL(38,12)) AS VARCHAR)"
+        f" WHEN regexp_matches({plain}, '^\\d+/\\d+$') THEN CAST(CAST({ratio} AS DECIMAL(38,12)) AS VARCHAR) ELSE {plain} END"
+    )
+
+
 def _tables_of(text: str) -> list[str]:
     return sorted({f for _, f, _, _ in string.Formatter().parse(text) if f})
 

@@ -50,6 +50,13 @@ def test_canonical_answers(spark):
     assert len(set(different)) == 6
 
 
+def test_canonical_keeps_values_apart(spark):
+    apart = ["(1,2000)", "(12,000)", "12000", "12345678901234567", "12345678901234568", "0.0000000001", "0", "1.5e3", "1500", "2 1/2", "2.5", "[1,234]", "1234", "1,23", "123"]
+    assert len(set(many(spark, apart, an.canonical))) == len(apart)
+    for group in (["0", "-0", "0.0", "0/5", "000"], ["-0.50", "-.5", "-1/2"], ["1,234,567.50", "+1234567.5"], ["$12,000", "12000", "12,000.00"], ["1/3", "2/6"]):
+        assert len(set(many(spark, group, an.canonical))) == 1, group
+
+
 def test_no_rule_also_hits_longer_words(spark):
     keys = many(spark, ["no change", "casino 5", "5", "No way"], an.vote_key)
     assert keys[0] == keys[1] == keys[3] != keys[2]

@@ -303,8 +303,23 @@ def test_registry_kinds(spark, tmp_path):
     path = tmp_path / "mine.py"
     path.write_text("REWARD_NAME = 'mine'\ndef helper(q):\n    return len(q)\ndef compute_score(predicts, ground_truths, questions, scale=1):\n    return [{'overall': scale * helper(q), 'k': 2} for q in questions]\n")
     assert registry.load_reward(str(path), scale=3).kind == "legacy_batch"
-    got = registry.score_rows(df, "mine").orderBy("id").collect()
+    with pytest.raises(ValueError, match="whole batch"):
+        registry.score_rows(df, "mine")
+    got = registry.score_rows(df, "mine", batch=["ground_truth"]).orderBy("id").collect()
     assert [r["reward"]["overall"] for r in got] == [6.0, 6.0] and got[0]["reward"]["metrics"] == {"k": 2.0}
     registry.register_reward("bad", lambda reward_inputs: [{"x": 1} for _ in reward_inputs])
     with pytest.raises(Exception, match="without overall"):
-        registry.score_rows(df, "bad").collect()
+        registry.score_rows(df, "bad", batch=["id"]).collect()
+
+
+def test_batch_rewards_see_their_whole_batch(spark):
+    """However rows are sliced on their way to Python, a batch is scored at once and in order."""
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 3).alias("step"), F.repeat(F.lit("x"), (F.col("id") % 7).cast("int")).alias("response"), F.lit("").alias("ground_truth"))
+    registry.register_reward("place", lambda reward_inputs: [{"overall": i, "of": len(reward_inputs)} for i in range(len(reward_inputs))], "batch")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        got = registry.score_rows(df.repartition(5), "place", batch=["step"], order=["id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert all(r["reward"]["overall"] == r["id"] // 3 and r["reward"]["metrics"]["of"] == (334 if r["step"] == 0 else 333) for r in got) and len(got) == 1000
