@@ -85,10 +85,13 @@ def target_size(width: Column, height: Column, max_pixels: int = MAX_PIXELS) ->
 
 
 def bounded_size(width: Column, height: Column, min_pixels: int | None, max_pixels: int | None) -> Column:
-    """Size under an upper and over a lower pixel bound, aspect kept; then the aspect is capped at the model limit."""
+    """Size under an upper and over a lower pixel bound, aspect kept; then the aspect is capped at the model limit.
+
+    A size with a zero side has no aspect and stays as it is.
+    """
 
     def scaled(s: Column, pixels: int) -> Column:
-        factor = F.sqrt(F.lit(float(pixels)) / (s["width"] * s["height"]))
+        factor = F.sqrt(F.try_divide(F.lit(float(pixels)), s["width"] * s["height"]))
         return _size(F.floor(s["width"] * factor), F.floor(s["height"] * factor))
 
     size = _size(width, height)
@@ -102,4 +105,4 @@ def bounded_size(width: Column, height: Column, min_pixels: int | None, max_pixe
         at_limit = (w > 0) & (h > 0) & (F.greatest(w, h) / F.least(w, h) >= MAX_RATIO + 1)
         return F.when(at_limit, _size(F.least(w, h * MAX_RATIO), F.least(h, w * MAX_RATIO))).otherwise(s)
 
-    return let(size, cap)
+    return F.when((width == 0) | (height == 0), _size(width, height)).otherwise(let(size, cap))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -219,26 +220,49 @@ def _per_batch_means(tokens: DataFrame, batch: Sequence[str], row: str, names: S
     )
 
 
+@dataclass(frozen=True)
+class LossSettings:
+    clip_low: float = 0.2
+    clip_high: float = 0.3
+    clip_dual: float = 3.0
+    tau_positive: float = 1.0
+    tau_negative: float = 1.05
+
+
+def _loss_columns(loss_type: str, s: LossSettings) -> dict[str, Column]:
+    """Loss of a token and, where the loss clips, its clip fractions, from the columns a, gap, seq_gap, lp and m."""
+    a = F.col("a")
+    log_ratio = {"gspo": F.col("seq_gap") * F.col("m"), "gspo_token": F.col("seq_gap")}.get(loss_type, F.col("gap"))
+    ratio = F.exp(tk.clip(log_ratio, -20.0, 20.0))
+    clipped = F.exp(tk.clip(log_ratio, math.log(1 - s.clip_low), math.log(1 + s.clip_high)))
+    none = F.lit(None).cast("double")
+    if loss_type == "cispo":
+        return {"loss": -a * F.col("lp") * clipped, "pg_clipfrac_higher": none, "pg_clipfrac_lower": none}
+    if loss_type == "sapo":
+
+        def gate(tau: float) -> Column:
+            return F.lit(4.0 / tau) / (F.lit(1.0) + F.exp(F.lit(-tau) * (ratio - 1.0)))
+
+        return {"loss": -a * F.when(a >= 0, gate(s.tau_positive)).otherwise(gate(s.tau_negative)), "pg_clipfrac_higher": none, "pg_clipfrac_lower": none}
+    plain, capped, dual = -a * ratio, -a * clipped, -a * s.clip_dual
+    high = F.greatest(plain, capped)
+    return {
+        "loss": F.when(a < 0, F.least(high, dual)).otherwise(high),
+        "pg_clipfrac_higher": (plain < capped).cast("double"),
+        "pg_clipfrac_lower": ((high > dual) & (a < 0)).cast("double"),
+    }
+
+
 def policy_diagnostics(
-    rows: DataFrame,
-    batch: Sequence[str],
-    row: str,
-    loss_type: str = "default",
-    clip_low: float = 0.2,
-    clip_high: float = 0.3,
-    clip_dual: float = 3.0,
-    tau_positive: float = 1.0,
-    tau_negative: float = 1.05,
+    rows: DataFrame, batch: Sequence[str], row: str, loss_types: Sequence[str] = ("default",), settings: LossSettings = LossSettings()
 ) -> DataFrame:
-    """Loss value (averaged by token and by response), clip fractions, kl and entropy of a step.
+    """(loss_type, batch, ...): loss (averaged by token and by response), clip fractions, kl and entropy of a step.
 
-    ``rows`` holds old_log_probs, log_probs and mask arrays and one ``advantage`` per response. Nothing is trained:
-    these are readings of logged log-probabilities.
+    ``rows`` holds old_log_probs, log_probs and mask arrays and one ``advantage`` per response. All kinds of loss are
+    columns of one pass over the tokens. Nothing is trained: these are readings of logged log-probabilities.
     """
-    import math
-
-    if loss_type not in LOSS_TYPES:
-        raise ValueError(f"unknown loss type {loss_type}")
+    if unknown := set(loss_types) - set(LOSS_TYPES):
+        raise ValueError(f"unknown loss types {sorted(unknown)}")
     gap = F.zip_with("log_probs", "old_log_probs", lambda p, o: p - o)
     rows = rows.select(*batch, row, "advantage", gap.alias("gap"), F.col("log_probs").alias("lp"), "mask")
     rows = rows.withColumn("seq_gap", tk.masked_mean(F.col("gap"), F.col("mask")))
@@ -247,28 +271,16 @@ def policy_diagnostics(
         *batch, row, F.col("advantage").alias("a"), "seq_gap", F.col("t.gap").alias("gap"), F.col("t.lp").alias("lp"),
         F.col("t.mask").cast("double").alias("m"),
     )
-    log_ratio = {"gspo": F.col("seq_gap") * F.col("m"), "gspo_token": F.col("seq_gap")}.get(loss_type, F.col("gap"))
-    a = F.col("a")
-    t = t.withColumn("ratio", F.exp(tk.clip(log_ratio, -20.0, 20.0)))
-    t = t.withColumn("clipped", F.exp(tk.clip(log_ratio, math.log(1 - clip_low), math.log(1 + clip_high))))
-    names = ["loss", "ppo_kl", "entropy_loss"]
-    if loss_type == "cispo":
-        t = t.withColumn("loss", -a * F.col("lp") * F.col("clipped"))
-    elif loss_type == "sapo":
-
-        def gate(tau: float) -> Column:
-            return F.lit(4.0 / tau) / (F.lit(1.0) + F.exp(F.lit(-tau) * (F.col("ratio") - 1.0)))
-
-        t = t.withColumn("loss", -a * F.when(a >= 0, gate(tau_positive)).otherwise(gate(tau_negative)))
-    else:
-        plain, capped, dual = -a * F.col("ratio"), -a * F.col("clipped"), -a * clip_dual
-        t = t.withColumn("high", F.greatest(plain, capped))
-        t = t.withColumn("loss", F.when(a < 0, F.least("high", dual)).otherwise(F.col("high")))
-        t = t.withColumn("pg_clipfrac_higher", (plain < capped).cast("double"))
-        t = t.withColumn("pg_clipfrac_lower", ((F.col("high") > dual) & (a < 0)).cast("double"))
-        names += ["pg_clipfrac_higher", "pg_clipfrac_lower"]
-    t = t.withColumn("ppo_kl", -F.col("gap")).withColumn("entropy_loss", -F.col("lp"))
-    return _per_batch_means(t, batch, row, names, ["loss", "entropy_loss"])
+    parts = ("loss", "pg_clipfrac_higher", "pg_clipfrac_lower")
+    columns = {f"{kind}__{part}": c for kind in loss_types for part, c in _loss_columns(kind, settings).items()}
+    t = t.withColumns({**columns, "ppo_kl": -F.col("gap"), "entropy_loss": -F.col("lp")})
+    wide = _per_batch_means(t, batch, row, [*columns, "ppo_kl", "entropy_loss"], [f"{k}__loss" for k in loss_types] + ["entropy_loss"])
+    kinds = [
+        F.struct(F.lit(k).alias("loss_type"), *[F.col(f"{k}__{p}").alias(p) for p in parts], F.col(f"{k}__loss_seq").alias("loss_seq"))
+        for k in loss_types
+    ]
+    shared = ["ppo_kl", "entropy_loss", "entropy_loss_seq"]
+    return wide.select(*batch, *shared, F.explode(F.array(*kinds)).alias("k")).select("k.loss_type", *batch, "k.loss", "k.loss_seq", "k.pg_clipfrac_higher", "k.pg_clipfrac_lower", *shared)
 
 
 def value_diagnostics(rows: DataFrame, batch: Sequence[str], row: str, clip_range: float = 0.5) -> DataFrame:

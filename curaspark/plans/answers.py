@@ -81,11 +81,8 @@ def _silver(spark, sf):
 )
 def solvability(spark, sf):
     items, answers = _silver(spark, sf), view(spark, sf, "answers", wide=True)
-    proposer = votes.solvability(answers, items, ["question_id"], "answer", "silver", "service_score")
-    both = votes.solvability(
-        answers, proposer.withColumnRenamed("solvability", "proposer_form"), ["question_id"], "answer", "silver", "service_score", code_form=True
-    )
-    return both.select("question_id", F.round("proposer_form", 6).alias("proposer_form"), F.round("solvability", 6).alias("code_form"))
+    both = votes.solvability_forms(answers, items, ["question_id"], "answer", "silver", "service_score")
+    return both.select("question_id", F.round("proposer_form", 6).alias("proposer_form"), F.round("code_form", 6).alias("code_form"))
 
 
 @query(

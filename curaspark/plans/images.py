@@ -54,12 +54,12 @@ def image_target_size(spark, sf):
 
 @query(
     "image_bounded_size",
-    f"""WITH s AS ({SIZES.format(documents='documents')}), v AS (SELECT doc_id, w::DOUBLE AS w, h::DOUBLE AS h FROM s WHERE w > 0 AND h > 0),
+    f"""WITH s AS ({SIZES.format(documents='documents')}), v AS (SELECT doc_id, w::DOUBLE AS w, h::DOUBLE AS h FROM s),
     a AS (SELECT doc_id, CASE WHEN w * h > 1000000 THEN floor(w * SQRT(1000000.0::DOUBLE / (w * h))) ELSE w END AS w, CASE WHEN w * h > 1000000 THEN floor(h * SQRT(1000000.0::DOUBLE / (w * h))) ELSE h END AS h FROM v),
     b AS (SELECT doc_id, CASE WHEN w * h < 10000 AND w * h > 0 THEN floor(w * SQRT(10000.0::DOUBLE / (w * h))) ELSE w END AS w, CASE WHEN w * h < 10000 AND w * h > 0 THEN floor(h * SQRT(10000.0::DOUBLE / (w * h))) ELSE h END AS h FROM a)
     SELECT doc_id, CASE WHEN w > 0 AND h > 0 AND GREATEST(w, h) / LEAST(w, h) >= 200 THEN LEAST(w, h * 199) ELSE w END::BIGINT AS width,
            CASE WHEN w > 0 AND h > 0 AND GREATEST(w, h) / LEAST(w, h) >= 200 THEN LEAST(h, w * 199) ELSE h END::BIGINT AS height FROM b""",
 )
 def image_bounded_size(spark, sf):
-    s = spark.sql(SIZES, documents=table(spark, sf, "documents")).filter("w > 0 AND h > 0")
+    s = spark.sql(SIZES, documents=table(spark, sf, "documents"))
     return s.select("doc_id", im.bounded_size(F.col("w"), F.col("h"), 10000, 1000000).alias("t")).select("doc_id", "t.width", "t.height")

@@ -16,25 +16,32 @@ def stream_results(spark, sf):
     schema = "event_id BIGINT, kind STRING, value DOUBLE"
     # two waves of files; the second run takes in only what is new
     for late in (False, True):
-        rows.filter((F.col("event_id") % 3 == 0) == late).repartition(4).write.mode("append").json(folder)
+        rows.filter((F.col("event_id") % 3 == 0) == late).write.mode("append").json(folder)
         st.consume_results(spark, folder, schema, out, checkpoint, files_per_batch=2)
     taken = spark.read.schema(schema).parquet(out)
     return taken.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("stream_progress", "SELECT user_id % 16 AS shard, COUNT(*) AS done, COUNT(*) AS total FROM events GROUP BY 1")
+@query(
+    "stream_progress",
+    """SELECT user_id % 16 AS shard, COUNT(*) FILTER (event_id % 32 < CASE WHEN user_id % 16 % 3 = 0 THEN 20 ELSE 32 END) AS done, COUNT(*) AS total
+    FROM events GROUP BY 1 HAVING done > 0""",
+)
 def stream_progress(spark, sf):
     folder, out, checkpoint = (shared_path(spark, f"progress-{p}") for p in ("in", "out", "state"))
-    events = table(spark, sf, "events").withColumn("shard", F.col("user_id") % 16)
-    total = events.groupBy("shard").agg(F.count(F.lit(1)).alias("total"))
-    # a worker finishes its items in 32 chunks and logs a line after each; one row per shard and chunk from here on
-    chunks = events.groupBy("shard", F.pmod(F.xxhash64("event_id"), F.lit(32)).alias("chunk")).agg(F.count(F.lit(1)).alias("k"))
-    done = F.sum("k").over(Window.partitionBy("shard").orderBy("chunk"))
+    events = table(spark, sf, "events").select((F.col("user_id") % 16).alias("shard"), (F.col("event_id") % 32).alias("chunk"))
+    # a worker finishes its items in 32 chunks and logs a line after each; every third worker has come to chunk 20
+    chunks = events.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("k"))
+    worker = Window.partitionBy("shard")
+    chunks = chunks.withColumn("done", F.sum("k").over(worker.orderBy("chunk"))).withColumn("total", F.sum("k").over(worker))
+    chunks = chunks.filter(F.col("chunk") < F.when(F.col("shard") % 3 == 0, 20).otherwise(32))
     text = F.format_string("  [shard %d] chunk %d/32 (%d/%d)...", "shard", F.col("chunk") + 1, "done", "total")
-    lines = chunks.withColumn("done", done).join(total, "shard").select(F.explode(F.array(text, F.lit("Loading..."))).alias("value"))
-    lines.repartition(4).write.text(folder)
-    st.track_progress(spark, folder, out, checkpoint, files_per_batch=2)
-    return spark.read.parquet(out)
+    # the logs are read twice: when they are part written, and after a restart
+    for late in (False, True):
+        part = chunks.filter((F.col("chunk") >= 12) == late)
+        part.select(F.explode(F.array(text, F.lit("Loading..."))).alias("value")).write.mode("append").text(folder)
+        st.track_progress(spark, folder, out, checkpoint, files_per_batch=2)
+    return st.latest_progress(spark, out)
 
 
 @query(
@@ -50,7 +57,7 @@ def stream_caption_memory(spark, sf):
     schema = "step INT, proposal_id BIGINT, caption STRING"
     # the steps arrive in two waves
     for early in (True, False):
-        captions.filter((F.col("step") < 5) == early).repartition(4, "step").write.mode("append").json(folder)
+        captions.filter((F.col("step") < 5) == early).write.mode("append").json(folder)
         st.remember_captions(spark, folder, schema, history, checkpoint, files_per_batch=3)
     remembered = spark.read.parquet(history).select("step", "caption")
     counts = remembered.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("caption")).alias("c"))

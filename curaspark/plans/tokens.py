@@ -121,6 +121,7 @@ ADV_SQL = TOKENS_SQL + ", a AS (SELECT rollout_id, (COUNT(*) % 7 - 3) / 2.0::DOU
 LOSS_SQL = {
     "default": ("lp - old_lp", None),
     "gspo": ("seq_gap * m", None),
+    "gspo_token": ("seq_gap", None),
     "cispo": ("lp - old_lp", "-a * lp * clipped"),
     "sapo": ("lp - old_lp", "-a * CASE WHEN a >= 0 THEN 4.0 / (1 + EXP(-(ratio - 1))) ELSE 4.0::DOUBLE / 1.05::DOUBLE / (1 + EXP(-1.05::DOUBLE * (ratio - 1))) END"),
 }
@@ -129,7 +130,7 @@ LOSS_SQL = {
 def _loss_sql(kind: str) -> str:
     gap, loss = LOSS_SQL[kind]
     loss = loss or "CASE WHEN a < 0 THEN LEAST(GREATEST(-a * ratio, -a * clipped), -a * 3) ELSE GREATEST(-a * ratio, -a * clipped) END"
-    fractions = kind in ("default", "gspo")
+    fractions = kind in ("default", "gspo", "gspo_token")
     high = "CASE WHEN -a * ratio < -a * clipped THEN 1.0 ELSE 0.0 END" if fractions else "NULL::DOUBLE"
     low = "CASE WHEN a < 0 AND GREATEST(-a * ratio, -a * clipped) > -a * 3 THEN 1.0 ELSE 0.0 END" if fractions else "NULL::DOUBLE"
     return f"""SELECT '{kind}' AS loss_type, step, ROUND(SUM(s_loss) / (SUM(n) + 1e-8), 6) AS loss, ROUND(AVG(s_loss / (n + 1e-8)), 6) AS loss_seq,
@@ -148,14 +149,8 @@ def _loss_sql(kind: str) -> str:
 )
 def policy_diagnostics(spark, sf):
     rows = token_rows(spark, sf).withColumn("advantage", (F.size("mask") % 7 - 3) / F.lit(2.0))
-    out = None
-    for kind in LOSS_SQL:
-        part = mt.policy_diagnostics(rows, ["step"], "rollout_id", kind)
-        for c in ("pg_clipfrac_higher", "pg_clipfrac_lower"):
-            if c not in part.columns:
-                part = part.withColumn(c, F.lit(None).cast("double"))
-        part = part.select(F.lit(kind).alias("loss_type"), "step", "loss", "loss_seq", "ppo_kl", "pg_clipfrac_higher", "pg_clipfrac_lower")
-        out = part if out is None else out.unionByName(part)
+    out = mt.policy_diagnostics(rows, ["step"], "rollout_id", list(LOSS_SQL))
+    out = out.select("loss_type", "step", "loss", "loss_seq", "ppo_kl", "pg_clipfrac_higher", "pg_clipfrac_lower")
     return rounded(out, "loss", "loss_seq", "ppo_kl", "pg_clipfrac_higher", "pg_clipfrac_lower")
 
 

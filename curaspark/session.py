@@ -57,4 +57,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``cut_lineage`` wrote for these tables; nothing that is still to be computed may read them."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -52,17 +52,25 @@ def progress_of_lines(lines: DataFrame, line: str = "value") -> DataFrame:
 def track_progress(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_batch: int = 64) -> None:
     """Items done and total per shard, from the logs the workers write.
 
-    Complete mode holds one row per shard; each batch replaces the small report table at ``out``.
+    Complete mode holds one row per shard. Each batch writes the report anew under its number; ``latest_progress`` reads
+    the last one, so a reader never meets a report that is half written.
     """
     logs = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
     progress = progress_of_lines(logs).groupBy("shard").agg(F.max("done").alias("done"), F.max("total").alias("total"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     run_available(progress, sink, checkpoint, mode="complete")
 
 
+def latest_progress(spark: SparkSession, out: str) -> DataFrame:
+    """(shard, done, total) of the last report."""
+    reports = spark.read.option("basePath", out).schema("shard BIGINT, done BIGINT, total BIGINT, batch BIGINT").parquet(out)
+    last = reports.groupBy("shard").agg(F.max_by(F.struct("done", "total"), "batch").alias("r"))
+    return last.select("shard", "r.done", "r.total")
+
+
 def remember_captions(
     spark: SparkSession, folder: str, schema: str, history: str, checkpoint: str, files_per_batch: int = 64
 ) -> None:
