@@ -4,8 +4,8 @@ Markup is stripped into lines, one per block element. Menus, adverts, notices, f
 text at this step but stay as empty lines. The lengths of the remaining texts are summed over sliding windows of WINDOW lines:
 the text of a page begins where the sums surge and ends where they dive to nothing, and what lies between is kept.
 
-- If the page marks its article (``article`` or ``main``), lines outside of it count as empty, and every surge inside
-  belongs to the article, however small.
+- If the page marks its article (``article``, or else ``main``), lines outside of it count as empty, and every surge inside
+  belongs to the article, however small. Reader comments and teasers that are articles by name are not meant.
 - Otherwise lines that are mostly link text count as empty, a surge must reach a share of the highest sum, and the
   stretch with the most text is kept.
 
@@ -45,6 +45,7 @@ _PARTS = frozenset(
     " header masthead toolbar pagination pager copyright disclaimer skip widget widgets form search".split()
 )
 _OWN = frozenset("article entry post story content main".split())
+_SMALL_ARTICLES = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo teaser related".split())
 _NEGATIONS = frozenset("no has with without".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
@@ -63,8 +64,9 @@ def _is_part(name: str, rest: str, inside: bool) -> bool:
     """Whether an element is no content of the page, by its name or by what its attributes call it."""
     if name in _DROPPED or (name == "header" and not inside):
         return True
-    if not rest or name in ("html", "body", "article", "main"):
+    if not rest or name in ("html", "body", "main"):
         return False
+    usual = _SMALL_ARTICLES if name == "article" else _PARTS
     for key, *values in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
@@ -76,24 +78,27 @@ def _is_part(name: str, rest: str, inside: bool) -> bool:
         if key in ("class", "id"):
             for label in value.split():
                 parts = set(re.split(r"[^a-z]+", label))
-                named = parts & _PARTS
+                named = parts & usual
                 if named and not parts & _NEGATIONS and not (named <= {"header", "form", "search"} and parts & _OWN):
                     return True
     return False
 
 
-def page_lines(page: str | None) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Lines of a page as (text, characters of link text, inside an article), and whether the page marks an article.
+def page_lines(page: str | None) -> list[tuple[str, int, int]]:
+    """Lines of a page as (text, characters of link text, place): 2 inside an article, 1 inside the main part only, 0 else.
 
     Lines without text stand for page parts that were dropped.
     """
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, int]] = []
     if not page:
-        return lines, False
+        return lines
     buffer: list[str] = []
     at, links, in_link = 0, 0, False
     dropped, depth = "", 0  # the element being dropped, and how many of its name are open within
-    articles, marked = 0, False
+    inside = {"article": 0, "main": 0}
+
+    def place() -> int:
+        return 2 if inside["article"] else 1 if inside["main"] else 0
 
     def end_line() -> None:
         nonlocal links
@@ -101,7 +106,7 @@ def page_lines(page: str | None) -> tuple[list[tuple[str, int, bool]], bool]:
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
-                lines.append((text, links, articles > 0))
+                lines.append((text, links, place()))
         links = 0
 
     while True:
@@ -123,11 +128,11 @@ def page_lines(page: str | None) -> tuple[list[tuple[str, int, bool]], bool]:
                 stop = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = stop.end() if stop else len(page)
             continue
-        if name in ("article", "main"):
+        if name in inside and not closing and dropped and not re.compile(rf"</{dropped}\b", re.I).search(page, at):
+            dropped = ""  # what is dropped was never closed, and the article is not part of it
+        if name in inside and not dropped and not (not closing and _is_part(name, rest, False)):
             end_line()
-            dropped = ""
-            articles = max(0, articles + (-1 if closing else 1))
-            marked = True
+            inside[name] = max(0, inside[name] + (-1 if closing else 1))
             continue
         if dropped:
             if name == dropped:
@@ -143,13 +148,13 @@ def page_lines(page: str | None) -> tuple[list[tuple[str, int, bool]], bool]:
             buffer.append(" ")
         if name == "a":
             in_link = not closing
-        if not closing and name not in _VOID and not rest.endswith("/") and _is_part(name, rest, articles > 0):
-            if name in _BLOCKS or buffer == []:
+        if not closing and name not in _VOID and not rest.endswith("/") and _is_part(name, rest, place() > 0):
+            if name in _BLOCKS or not buffer:
                 end_line()
-                lines.append(("", 0, articles > 0))
+                lines.append(("", 0, place()))
             dropped, depth = name, 1
     end_line()
-    return lines, marked
+    return lines
 
 
 def text_stretch(lengths: list[int], surge: float, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -178,9 +183,10 @@ def text_stretch(lengths: list[int], surge: float, window: int = WINDOW) -> list
 
 def main_blocks(page: str | None, window: int = WINDOW) -> list[str]:
     """The blocks of a page's main text in page order."""
-    lines, marked = page_lines(page)
+    lines = page_lines(page)
+    marked = max((place for text, _, place in lines if text), default=0)
     if marked:
-        lengths = [len(t) if inside else 0 for t, _, inside in lines]
+        lengths = [len(t) if place == marked else 0 for t, _, place in lines]
         stretches = text_stretch(lengths, 0, window)
     else:
         lengths = [0 if links >= LINK_SHARE * len(t) else len(t) for t, links, _ in lines]

@@ -36,7 +36,8 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 MIN_ENCODED = 40
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_ENCODED)
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{8,}(?![A-Za-z0-9_-])")
+# base64 of a brace begins with e, and a quote, a space or a line break after it gives y or w
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])e[wy][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{8,}(?![A-Za-z0-9_-])")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----")
 _MAC_BYTES = {"HS256": (32,), "HS384": (48,), "HS512": (64,), "ES256": (64,), "ES384": (96,), "ES512": (132,), "EdDSA": (64, 114)}
 
@@ -187,12 +188,14 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             for data in decoded(body):
                 if kind := key_kind(data):
                     found.add((kind, m.start(), stop + len(tail)))
+    blocks = [(a, b) for _, a, b in found]
     for m in _RUN.finditer(text):
+        if any(a < m.start() < b for a, b in blocks):
+            continue  # the body of a block that is reported as a whole
         for data in decoded(m[0]):
             if kind := key_kind(data):
                 found.add((kind, *m.span()))
-    if "." in text and "eyJ" in text:  # base64 of '{"', with which a compact JSON header begins
-        found |= {("signed_token", *m.span()) for m in _TOKEN.finditer(text) if signed_token(m[0])}
+    found |= {("signed_token", *m.span()) for m in _TOKEN.finditer(text) if signed_token(m[0])}
     return list(found)
 
 

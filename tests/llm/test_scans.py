@@ -66,7 +66,7 @@ def test_encoded_keys(kind, data):
     assert kinds(f"x {b64(data)} y") == [(kind, b64(data))]
     assert kinds(f"x {data.hex()} y") == [(kind, data.hex())]
     block = pem("PRIVATE KEY", data)
-    assert (kind, block) in kinds(f"漢😀 {block} z")
+    assert kinds(f"漢😀 {block} z") == [(kind, block)]
     broken = data[:-1] if kind != "openssh" else data[:-130]
     assert kinds(f"x {b64(broken)} y") == []
 
@@ -83,6 +83,8 @@ def test_rsa_by_field_order():
 def test_signed_tokens():
     good = token()
     assert kinds(f"Authorization: Bearer {good}, and") == [("signed_token", good)]
+    spaced = token(header=b'{ "alg": "HS256" }')
+    assert kinds(f"x={spaced}") == [("signed_token", spaced)]
     for bad in (token(header=b'{"typ":"JWT"}'), token(header=b'{"alg":"none"}'), token(mac=b"\x99" * 31), token(payload=b"[1]"), token(header=b'{"alg":"HS256"')):
         assert kinds(bad) == []
 
@@ -153,6 +155,12 @@ PAGES = {
         [BLOCKS[0], "After."],
     ),
     "comments inside the article": (page(f"<article>{ARTICLE}<div class='comments'><p>Nice.</p></div><div class='cookie-notice'>Accept</div></article>"), BLOCKS),
+    "reader comments as articles": (
+        page(f"<article class='post'>{ARTICLE}</article><section class='comments'><article>I like it.</article></section><div><article class='comment'>So do I.</article></div>"),
+        BLOCKS,
+    ),
+    "teasers in a sidebar": (page(f"<aside><article><p>Read this.</p></article></aside><main><p class='crumbs'>Home</p><article>{ARTICLE}</article><p>Tags</p></main>"), BLOCKS),
+    "main without article": (page(f"<header><p>Site</p></header><main>{ARTICLE}</main><p>Impressum</p>"), BLOCKS),
     "hidden": (page(f"<article>{ARTICLE}<p hidden>no</p><p style='display:none'>no</p><div role='navigation'>no</div><!-- <p>no</p> --></article>"), BLOCKS),
     "no article": (
         page(f"<div class='menu'><a href=/>Home</a></div><div><a href=/1>One</a> <a href=/2>Two</a></div><div class='content'>{ARTICLE}</div><div class='footer'>c</div>"),
