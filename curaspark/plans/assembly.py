@@ -61,13 +61,15 @@ LOOSE_SQL = (
 )
 
 
-@query(
-    "asm_codegen_train",
+CODEGEN_TRAIN_SQL = (
     LOOSE_SQL
     + f"""SELECT proposal_id, {PROMPT_SQL} AS prompt_text, easy_answer, caption, easy_question, COALESCE(hard_question, '') AS hard_question,
                 COALESCE(hard_answer, '') AS hard_answer, 'svg' AS visual_type
-         FROM f WHERE caption IS NOT NULL AND easy_question IS NOT NULL AND easy_answer IS NOT NULL""",
+         FROM f WHERE caption IS NOT NULL AND easy_question IS NOT NULL AND easy_answer IS NOT NULL"""
 )
+
+
+@query("asm_codegen_train", CODEGEN_TRAIN_SQL)
 def asm_codegen_train(spark, sf):
     return assemble.codegen_training_set(assemble.parse_proposals(view(spark, sf, "loose_proposals", wide=True), "response", keep_incomplete=False))
 

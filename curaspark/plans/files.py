@@ -5,10 +5,12 @@ Files go to the shared folder of the session, so every executor sees them.
 
 from pyspark.sql import functions as F
 
+from curaspark.operators import assemble
 from curaspark.operators import evaluate as ev
+from curaspark.plans import assembly
 from curaspark.plans.catalog import query
 from curaspark.plans.evaluation import ACCURACY_SQL
-from curaspark.plans.standins import table, view
+from curaspark.plans.standins import table, view, with_views
 from curaspark.session import shared_path
 from curaspark.sources import files as fl
 
@@ -109,3 +111,41 @@ def io_metric_log(spark, sf):
     fl.append_metric_log(logs.filter("step >= 5"), path)
     read = fl.read_jsonl(spark, path, "step INT, log STRING")
     return flatten_metrics(read, ["step"]).withColumn("value", F.round("value", 9))
+
+
+@query(
+    "io_solver_sink",
+    with_views("evaluated")
+    + f""", kept AS (SELECT * FROM evaluated WHERE {assembly.USABLE_SQL} AND easy_consistency >= 0.5 AND hard_consistency BETWEEN 0.25 AND 0.75)
+    SELECT question_type AS problem_type, COUNT(*) AS n, ROUND(AVG(score), 6) AS mean_score, (SELECT COUNT(*) FROM evaluated) AS total_raw_samples,
+           (SELECT COUNT(*) FROM kept) AS total_filtered_samples FROM kept GROUP BY question_type""",
+)
+def io_solver_sink(spark, sf):
+    """The solver's training set and its summary, as a later stage reads them."""
+    path = shared_path(spark, "solver") + ".parquet"
+    fl.write_solver_train(assemble.solver_candidates(view(spark, sf, "evaluated", wide=True)), path, "solver")
+    summary = spark.read.schema("total_raw_samples BIGINT, total_filtered_samples BIGINT").json(path.removesuffix(".parquet") + "_summary")
+    kept = spark.read.parquet(path).groupBy("problem_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+    return kept.select("*", *[summary.select(c).scalar().alias(c) for c in summary.columns])
+
+
+@query("io_codegen_sink", assembly.CODEGEN_TRAIN_SQL)
+def io_codegen_sink(spark, sf):
+    """The CodeGen training set, written and read again."""
+    path = shared_path(spark, "codegen")
+    fl.write_training_set(assembly.asm_codegen_train(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@query(
+    "io_shard_merge",
+    with_views("eval_records") + "SELECT model, dataset, COUNT(*) AS n, SUM(length(model_response))::BIGINT AS chars FROM eval_records GROUP BY model, dataset",
+)
+def io_shard_merge(spark, sf):
+    """Each of eight workers writes the sums of its shard; the report adds them up."""
+    records = view(spark, sf, "eval_records", wide=True).withColumn("worker", F.pmod("item", F.lit(8)).cast("int"))
+    sums = records.groupBy("model", "dataset", "worker").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("model_response")).alias("chars"))
+    path = shared_path(spark, "shards")
+    fl.write_shards(sums.drop("worker"), F.pmod(F.col("n"), F.lit(8)).cast("int"), path)
+    merged = fl.read_shard_folders(spark, path, "model STRING, dataset STRING, n BIGINT, chars BIGINT")
+    return merged.groupBy("model", "dataset").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))

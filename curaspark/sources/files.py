@@ -164,8 +164,13 @@ def write_solver_train(candidates: DataFrame, path: str, name: str, score_range:
 
 
 def write_shards(rows: DataFrame, shard: Column, path: str) -> None:
-    """One folder per shard."""
-    rows.withColumn("shard", shard).repartition("shard").write.mode("overwrite").partitionBy("shard").json(path)
+    """One folder per shard. A shard is written by as many tasks as its size asks for."""
+    rows.withColumn("shard", shard).hint("rebalance", "shard").write.mode("overwrite").partitionBy("shard").json(path)
+
+
+def read_shard_folders(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all shards that ``write_shards`` wrote below ``path``, with their shard number."""
+    return spark.read.option("basePath", path).schema(f"{schema}, shard INT").json(path)
 
 
 def write_accuracy_summary(summary: DataFrame, path: str) -> None:
