@@ -14,19 +14,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def text_bytes(text: str | None) -> bytes:
-    """UTF-8 bytes of a text; null counts as empty. Lone surrogates, which no table can hold, are not expected."""
-    return b"" if text is None else text.encode()
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """The words of a text as bytes. ``bytes.split`` cuts at exactly the six white-space bytes WORD leaves out."""
-    return text_bytes(text).split()
-
-
 def lower_words(text: str | None) -> list[bytes]:
-    """Words with A-Z in lower case; other letters stay, as ``bytes.lower`` leaves them."""
-    return text_bytes(text).lower().split()
+    """The words of a text as bytes, with A-Z in lower case and other letters as they are; a null text has none.
+
+    ``bytes.split`` cuts at exactly the six white-space bytes that WORD leaves out.
+    """
+    return text.encode().lower().split() if text else []
 
 
 def n_words(text: Column) -> Column:
@@ -34,6 +27,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def sent_if_small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The small side of a join, broadcast if it has at most ``most`` rows of a few numbers; else the join shuffles."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, whole."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curaspark.llm.common import sent_if_small
 from curaspark.session import cut_lineage, shared_path
 
 FILES_PER_BATCH = 1000
@@ -117,11 +118,15 @@ def drop_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     Rows are told apart by identifier and text. Those that repeat both keep one row.
     """
     groups = cut_lineage(exact_groups(df, key, text))
+    ids = cut_lineage(groups.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__rows"), F.max("kept").alias("__kept")))
+    if ids.filter("__rows > 1").isEmpty():  # identifiers tell rows apart
+        dropped = sent_if_small(ids.filter("NOT __kept").select("__key"))
+        return df.join(dropped, df[key].eqNullSafe(dropped["__key"]), "left_anti")
     by_id = groups.groupBy(F.col(key).alias("__key"), F.col("digest").alias("__digest")).agg(F.count(F.lit(1)).alias("__rows"), F.max("kept").alias("__kept"))
     by_id = cut_lineage(by_id.filter("NOT __kept OR __rows > 1"))
     marked = df.withColumn("__digest", sha256(normalised(F.col(text))))
     same = marked[key].eqNullSafe(by_id["__key"]) & (marked["__digest"] == by_id["__digest"])
-    stay = marked.join(by_id, same, "left_anti").drop("__digest")
+    stay = marked.join(sent_if_small(by_id), same, "left_anti").drop("__digest")
     if by_id.filter("__kept").isEmpty():
         return stay
     once = marked.join(by_id.filter("__kept"), same, "left_semi").dropDuplicates([key, "__digest"]).drop("__digest")

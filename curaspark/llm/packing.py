@@ -29,7 +29,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -53,7 +53,7 @@ class Chunks(dict):
     ``encode`` is the tokenizer; ``limit`` bounds the memory.
     """
 
-    def __init__(self, encode, prefix: str = "", limit: int = 400_000):
+    def __init__(self, encode, prefix: str = "", limit: int = 250_000):
         super().__init__()
         self.encode, self.prefix, self.limit = encode, prefix, limit
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curaspark.llm.common import lower_words, per_row
+from curaspark.llm.common import lower_words, per_row, sent_if_small
 from curaspark.operators.graph import components
 from curaspark.session import cut_lineage
 
@@ -285,7 +285,7 @@ def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shi
     stays = F.col(key).eqNullSafe(F.col("component")) & (F.col("fp") == F.col("least_fp"))
     by_id = cut_lineage(named.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__rows"), F.count_if(stays).alias("__stay")))
     same = df[key].eqNullSafe(by_id["__key"])
-    once = df.join(by_id.filter("__stay = 0 OR __rows > 1"), same, "left_anti")
+    once = df.join(sent_if_small(by_id.filter("__stay = 0 OR __rows > 1")), same, "left_anti")
     repeated = by_id.filter("__stay > 0 AND __rows > 1")
     if repeated.isEmpty():
         return once

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curaspark.session import cut_lineage
+
 BUCKETS = 1 << 15
 LETTERS = (4, 6)  # lengths of the stems that are hashed beside the word
 DIM = 16
@@ -37,7 +39,7 @@ EPOCHS = 6
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_WORDS = 3_000, 5_000, 3_000_000
 CALIBRATION = 0.2
 STRETCH = 50_000  # words convolved at once
-REMEMBERED = 300_000  # words whose vectors a task keeps
+REMEMBERED = 150_000  # words whose vectors a task keeps
 
 _WORD = re.compile(r"\w+")
 
@@ -270,10 +272,21 @@ def distances(model: Model, texts: list[str | None], known: Vectors) -> np.ndarr
 # ---------------------------------------------------------------- fitting and scoring tables
 
 
-def fitted(rows: DataFrame, key: str, text: str, label: str, seed: int = 0) -> Model | None:
-    """Train on a bounded part of the labelled rows and calibrate on another; None without both labels."""
-    order = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
-    labelled = rows.filter(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(label) > 0).cast("int").alias("toxic"), order.alias("order"))
+def learned(df: DataFrame, labels: DataFrame, training: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", seed: int = 0) -> Model | None:
+    """The classifier fitted to the labels of those rows of ``df`` for which ``training`` holds; None without both labels.
+
+    Labels meet identifiers first, a bounded number of them is chosen by a hash, and only these meet their texts: a
+    part of them trains and another calibrates.
+    """
+    known = labels.groupBy(F.col(key).alias("label_key")).agg((F.max(label) > 0).cast("int").alias("toxic")).filter("toxic IS NOT NULL AND label_key IS NOT NULL")
+    rows = df.select(F.col(key).alias("key")) if training is None else df.filter(training).select(F.col(key).alias("key"))
+    order = F.xxhash64(F.lit(seed), F.col("key").cast("string"))
+    labelled = cut_lineage(rows.join(known, F.col("key") == F.col("label_key")).select("key", "toxic").distinct().withColumn("order", order))
+    kinds = {kind: labelled.filter(F.col("toxic") == kind).orderBy("order", "key").limit(most) for kind, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))}
+    chosen = cut_lineage(kinds[1].unionByName(kinds[0]))
+    texts = df.select(F.col(key).alias("text_key"), F.col(text).alias("text"))
+    # at most TRAIN_TOXIC + TRAIN_CLEAN identifiers
+    labelled = cut_lineage(texts.join(F.broadcast(chosen), F.col("text_key") == F.col("key")).select("key", "text", "toxic", "order"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,11 +379,3 @@ def scored(df: DataFrame, model: Model | None, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(d, -500, 500))), pa.float64())], [key, "score"])
 
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, score double")
-
-
-def learned(df: DataFrame, labels: DataFrame, training: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
-    """The classifier fitted to the labels of those rows of ``df`` for which ``training`` holds."""
-    known = labels.groupBy(F.col(key).alias("label_key")).agg(F.max(label).alias("label")).filter("label IS NOT NULL AND label_key IS NOT NULL")
-    rows = df.select(key, text) if training is None else df.filter(training).select(key, text)
-    rows = rows.join(known, F.col(key) == F.col("label_key")).select(key, text, "label")
-    return fitted(rows, key, text, "label")
