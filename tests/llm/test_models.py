@@ -258,6 +258,18 @@ def test_each_id_is_scored_once_with_its_context():
             assert np.allclose(got[at], one[0], atol=1e-4)
 
 
+def test_every_id_of_a_long_text_has_sixteen_ids_of_context():
+    weights, places = small_model()
+    ids = np.random.default_rng(5).integers(0, 3000, 400)
+    at = np.arange(150, 150 + 3 * lm.STRIDE)
+    changed = np.repeat(ids[None, :], len(at), axis=0)
+    far = ids[at - 16]
+    changed[np.arange(len(at)), at - 16] = np.where(far == 11, 12, 11)
+    plain, *others = lm.id_scores(weights, places, [ids, *changed], 7)
+    assert all(t[i] != plain[i] for t, i in zip(others, at))
+    assert lm.GROUPS * lm.SLOTS >= 768
+
+
 def test_long_texts_are_scored_in_stretches():
     weights, places = small_model()
     ids = np.random.default_rng(3).integers(0, 3000, lm.STRIDE * 4096 + 777)
