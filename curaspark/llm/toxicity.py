@@ -6,7 +6,7 @@ response of each filter over the whole text is kept, and a logistic layer reads
 few words decide in a text of any length, and in the backward step only the windows that won carry gradients.
 
 Training sees labelled rows only, at most ``TRAIN_TOXIC`` toxic and ``TRAIN_CLEAN`` other ones and ``TRAIN_WORDS`` words
-in all, chosen by a hash of the identifier; one part in ``1 / CALIBRATION`` of them is held back to set, for each
+in all, chosen by a hash of the identifier (a text too long for what is left is passed over); one part in ``1 / CALIBRATION`` of them is held back to set, for each
 language, the threshold that separates best. The language is guessed from the text by its function words. A score is the
 logistic of the distance to the threshold of its language, so 0.5 is the threshold everywhere.
 
@@ -288,10 +288,12 @@ def learned(df: DataFrame, labels: DataFrame, training: Column | None = None, ke
     # at most TRAIN_TOXIC + TRAIN_CLEAN identifiers
     labelled = cut_lineage(texts.join(F.broadcast(chosen), F.col("text_key") == F.col("key")).select("key", "text", "toxic", "order"))
 
+    room = TRAIN_WORDS // 2
+
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [words(t) for t in batch.column("text").to_pylist()]
-            packed = [np.array([buckets(w) for w in ws], np.uint16).tobytes() for ws in found]
+            packed = [np.array([buckets(w) for w in ws[:room]], np.uint16).tobytes() for ws in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("toxic"), batch.column("order"), pa.array(map(len, found), pa.int64()), pa.array(map(language, found), pa.int32()), pa.array(packed, pa.binary())],
                 ["toxic", "order", "n_words", "language", "features"],
@@ -299,13 +301,17 @@ def learned(df: DataFrame, labels: DataFrame, training: Column | None = None, ke
 
     got: list[tuple[int, int, np.ndarray]] = []
     for kind, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
-        total = 0
+        total, long = 0, None
         some = labelled.filter(F.col("toxic") == kind).orderBy("order", "key").limit(most)
         for r in some.mapInArrow(featured, "toxic int, order bigint, n_words bigint, language int, features binary").toLocalIterator():
-            total += r["n_words"]
-            if total > TRAIN_WORDS // 2:
-                break
-            got.append((r["toxic"], r["language"], np.frombuffer(r["features"], np.uint16).reshape(-1, 1 + len(LETTERS))))
+            row = (r["toxic"], r["language"], np.frombuffer(r["features"], np.uint16).reshape(-1, 1 + len(LETTERS)))
+            if total + r["n_words"] <= room:
+                total += r["n_words"]
+                got.append(row)
+            else:  # it does not fit, but a later one may
+                long = long or row
+        if long and not any(g[0] == kind for g in got):
+            got.append(long)  # no text of the kind fits: the beginning of the first one
     toxic = np.array([g[0] for g in got])
     if len(got) < 2 or toxic.min() == toxic.max():
         return None

@@ -175,6 +175,23 @@ def test_toxicity_of_messy_tables(spark, messy, nothing, classifier):
     assert toxicity.learned(messy, spark.createDataFrame([(1, 0), (7, 1), (8, 1)], labels.schema)) is not None
 
 
+@pytest.mark.parametrize("long", [1, 20])
+def test_long_texts_do_not_end_the_training_sample(spark, monkeypatch, long):
+    """The first labelled texts of each kind by hash, or all of them, are longer than what is read of a kind."""
+    monkeypatch.setattr(toxicity, "TRAIN_WORDS", 200)
+    ids = spark.range(40).select("id", F.xxhash64(F.lit(0), F.col("id").cast("string")).alias("o")).orderBy("o").collect()
+    seen, rows = Counter(), []
+    for i in [r["id"] for r in ids]:
+        seen[i % 2] += 1
+        rows.append((i, ("idiot " if i % 2 else "friend ") * (300 if seen[i % 2] <= long else 4)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+    model = toxicity.learned(docs, labels)
+    assert model is not None
+    toxic, clean = toxicity.distances(model, ["idiot", "friend"], toxicity.Vectors(model))
+    assert toxic > clean
+
+
 # ---------------------------------------------------------------- language model
 
 
