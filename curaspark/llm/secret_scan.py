@@ -5,8 +5,10 @@ then decoded, and reported as a key only if its bytes parse: nested DER lengths
 field order of a private key, the length-prefixed fields of an OpenSSH key file, or the JSON header and payload of a
 signed token. Kinds that the decoded bytes confirm:
 
-- ``pkcs1``, ``pkcs8``, ``pkcs8_encrypted``, ``sec1``: private keys in DER, in base64 or hex, bare or in a PEM block
+- ``pkcs1``, ``pkcs8``, ``pkcs8_encrypted``, ``sec1``: private keys in DER, in base64 or hex (also after 0x), bare or in a PEM block
 - ``openssh``: an OpenSSH private key file, bare or in a PEM block
+
+Bare keys may be wrapped over consecutive lines, and line breaks may be escapes, as in JSON.
 - ``signed_token``: three base64url parts, of which the first names an algorithm and the second is an object
 
 Null and empty texts have no span. Very long texts are scanned whole, in time proportional to their length: every
@@ -36,8 +38,12 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 MIN_ENCODED = 40
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_ENCODED)
+# a line break as it is or as an escape, and runs on consecutive lines
+_BREAK = re.compile(r"(?:[\r\n]|\\+[nrt])[ \t]*")
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}(?:(?:(?:[\r\n]|\\+[nrt])[ \t]*)+[A-Za-z0-9+/_-]+)+={0,2}" % MIN_ENCODED)
 # base64 of a brace begins with e, and a quote, a space or a line break after it gives y or w
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])e[wy][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{8,}(?![A-Za-z0-9_-])")
+_ESCAPED = re.compile(r"\\+[nrt]")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----")
 _MAC_BYTES = {"HS256": (32,), "HS384": (48,), "HS512": (64,), "ES256": (64,), "ES384": (96,), "ES512": (132,), "EdDSA": (64, 114)}
 
@@ -101,10 +107,10 @@ def _names_algorithm(data: bytes, sequence: tuple[int, int, int]) -> bool:
 _SSH_MAGIC = b"openssh-key-v1\x00"
 
 
-def openssh_key(data: bytes) -> bool:
-    """An OpenSSH private key file: magic, cipher, kdf, options, count, public keys and private part, by their lengths."""
+def openssh_key(data: bytes) -> int:
+    """Size of an OpenSSH private key file: magic, cipher, kdf, options, count, public keys and private part, by their lengths; 0 if it is none."""
     if not data.startswith(_SSH_MAGIC):
-        return False
+        return 0
     at = len(_SSH_MAGIC)
 
     def field() -> bytes | None:
@@ -117,12 +123,12 @@ def openssh_key(data: bytes) -> bool:
 
     cipher, kdf, options = field(), field(), field()
     if not cipher or not kdf or options is None or at + 4 > len(data):
-        return False
+        return 0
     count = int.from_bytes(data[at : at + 4], "big")
     at += 4
     if not 1 <= count <= 64 or any(not field() for _ in range(count)):
-        return False
-    return bool(field())
+        return 0
+    return at if field() else 0
 
 
 def decoded(run: str) -> list[bytes]:
@@ -146,6 +152,66 @@ def key_kind(data: bytes) -> str | None:
     return "openssh" if openssh_key(data) else None
 
 
+def key_size(data: bytes) -> int:
+    """How many bytes a DER value takes, by its header; 0 if it is no sequence."""
+    if len(data) < 6 or data[0] != _SEQUENCE:
+        return 0
+    if data[1] < 0x80:
+        return 2 + data[1]
+    width = data[1] & 0x7F
+    return 2 + width + int.from_bytes(data[2 : 2 + width], "big") if 1 <= width <= 4 else 0
+
+
+def wrapped_keys(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    """Keys that are spelled over several of the lines of text[start:end], each of which is a run."""
+    lines, at = [], start
+    for m in [*_BREAK.finditer(text, start, end), None]:
+        stop = m.start() if m else end
+        if stop > at:
+            lines.append((at, text[at:stop].rstrip("=")))
+        at = m.end() if m else end
+    if lines and start and text[start - 1] == "\\" and lines[0][1][0] in "nrt":  # the letter of an escaped break
+        lines[0] = (start + 1, lines[0][1][1:])
+    after = [0]  # characters from the end of the lines
+    for _, line in reversed(lines):
+        after.append(after[-1] + len(line))
+    out, i = [], 0
+    while i < len(lines):
+        first, prefix = lines[i][1], 2 if lines[i][1][:2] in ("0x", "0X") else 0
+        have, found = after[len(lines) - i] - prefix, None
+        head = first[prefix:]
+        for digits, base in ((2, decoded(head[:40]) if re.match(r"[0-9a-fA-F]{40}", head) else []), (4 / 3, decoded(head[:40].ljust(40, "A")))):
+            data = base[0 if digits == 2 else -1] if base else b""
+            size = key_size(data)
+            if digits != 2 and data.startswith(_SSH_MAGIC):
+                for most in (256, len(lines)):  # most keys end within the first of these lines
+                    whole = "".join(x for _, x in lines[i : i + most])
+                    read = decoded(whole[: len(whole) // 4 * 4] if len(whole) % 4 == 1 else whole)
+                    if size := openssh_key(read[-1]) if read else 0:
+                        break
+            need = -(-size * 4 // 3) if digits != 2 else 2 * size
+            if not size or not len(head) < need <= have:
+                continue
+            parts, held, j = [head], len(head), i + 1
+            while held < need:
+                parts.append(lines[j][1])
+                held += len(parts[-1])
+                j += 1
+            if held == need:
+                for read in decoded("".join(parts)):
+                    if kind := key_kind(read):
+                        stop = lines[j - 1][0] + len(lines[j - 1][1])
+                        while stop < end and text[stop] == "=":
+                            stop += 1
+                        found = (kind, lines[i][0] + prefix, stop)
+            if found:
+                break
+        if found:
+            out.append(found)
+        i = j if found else i + 1
+    return out
+
+
 def signed_token(token: str) -> bool:
     """header.payload.signature with a JSON header that names a signing algorithm and a signature of its length."""
     parts = token.split(".")
@@ -183,18 +249,28 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             stop, tail = text.find("-----", m.end()), f"-----END {m[1]}-----"
             if stop < 0 or not text.startswith(tail, stop):
                 continue
-            lines = text[m.end() : stop].splitlines()
+            lines = _ESCAPED.sub("\n", text[m.end() : stop]).replace("\\/", "/").splitlines()
             body = "".join("".join(x.split()) for x in lines if ":" not in x and "," not in x)  # without header lines
             for data in decoded(body):
                 if kind := key_kind(data):
                     found.add((kind, m.start(), stop + len(tail)))
     blocks = [(a, b) for _, a, b in found]
+    for m in _LINES.finditer(text):
+        if not any(a < m.start() < b for a, b in blocks):
+            found.update(wrapped_keys(text, *m.span()))
+    blocks = [(a, b) for _, a, b in found]
     for m in _RUN.finditer(text):
-        if any(a < m.start() < b for a, b in blocks):
+        if any(a <= m.start() < b or m.start() < a < m.end() for a, b in blocks):
             continue  # the body of a block that is reported as a whole
-        for data in decoded(m[0]):
-            if kind := key_kind(data):
-                found.add((kind, *m.span()))
+        starts = [m.start()]
+        if m[0][:2] in ("0x", "0X"):
+            starts.append(m.start() + 2)
+        if m.start() and text[m.start() - 1] == "\\" and m[0][0] in "nrt":
+            starts.append(m.start() + 1)  # after an escaped line break
+        for start in starts:
+            for data in decoded(text[start : m.end()]):
+                if kind := key_kind(data):
+                    found.add((kind, start, m.end()))
     found |= {("signed_token", *m.span()) for m in _TOKEN.finditer(text) if signed_token(m[0])}
     return list(found)
 

@@ -71,6 +71,26 @@ def test_encoded_keys(kind, data):
     assert kinds(f"x {b64(broken)} y") == []
 
 
+@pytest.mark.parametrize("kind, data", [("pkcs8", PKCS8), ("pkcs8_encrypted", LOCKED), ("sec1", SEC1), ("openssh", SSH)])
+def test_keys_over_lines_and_escapes(kind, data):
+    block = pem("PRIVATE KEY", data).strip()
+    for escape in ("\\n", "\\\\n", "\\r\\n"):
+        text = 'é {"key": "' + block.replace("\n", escape) + '"}'
+        assert [(k, text[a:b]) for k, a, b in secret_scan.confirmed_spans(text)] == [(kind, text[text.index("-----B") : text.rindex('"')])]
+    for spelled in (b64(data), data.hex(), data.hex().upper()):
+        if kind == "openssh" and spelled != b64(data):
+            continue
+        for width in (48, 64, 76):
+            for end in ("\n", "\r\n", "\\n", "\n    "):
+                wrapped = end.join(spelled[i : i + width] for i in range(0, len(spelled), width))
+                for before, after in (("", ""), ("é key = ", "\nand more"), ("x\\n", "\\n")):
+                    text = before + wrapped + after
+                    assert secret_scan.confirmed_spans(text) == [(kind, len(before), len(before) + len(wrapped))], (width, end, before)
+    if kind != "openssh":
+        assert secret_scan.confirmed_spans("k 0x" + data.hex()) == [(kind, 4, 4 + 2 * len(data))]
+    assert not secret_scan.confirmed_spans("\n".join(["A" * 64] * 20))
+
+
 def test_rsa_by_field_order():
     ok = der(0x30, integer(0), integer(P * Q), integer(65537), *[integer(i) for i in (99, 3, 5, 7, 11, 13)])
     assert kinds(b64(ok)) == [("pkcs1", b64(ok))]
