@@ -6,8 +6,8 @@ the text of a page begins where the sums surge and ends where they dive to nothi
 
 - If the page marks its article (``article``, or else ``main``), lines outside of it count as empty, and every surge inside
   belongs to the article, however small. Reader comments and teasers that are articles by name are not meant.
-- Otherwise lines that are mostly link text count as empty, a surge must reach a share of the highest sum, and the
-  stretch with the most text is kept.
+- Otherwise lines that are mostly link text count as empty, a surge must reach a share of what a window of short paragraphs
+  sums to, and every stretch with a paragraph is kept. Stretches with no links between them are one, whatever was dropped there.
 
 Null, empty and text-free pages give the empty string. Cut-off pages keep what came before the cut; an unfinished tag
 is dropped. Work is proportional to the page; rows are read where they lie and repeated rows repeat.
@@ -24,8 +24,10 @@ from pyspark.sql import DataFrame
 from curaspark.llm.common import per_row
 
 WINDOW = 3
-#: Share of the highest window sum that a surge must reach when no article is marked.
+#: Share of the sum of a window of short paragraphs that a surge must reach when no article is marked.
 SURGE = 0.1
+#: Characters from which a line counts as a paragraph, if the page has such lines; else its longest lines do.
+PARAGRAPH = 80
 #: A line counts as a menu if link text makes up at least this share of it.
 LINK_SHARE = 0.6
 
@@ -190,9 +192,15 @@ def main_blocks(page: str | None, window: int = WINDOW) -> list[str]:
         stretches = text_stretch(lengths, 0, window)
     else:
         lengths = [0 if links >= LINK_SHARE * len(t) else len(t) for t, links, _ in lines]
-        top = max((sum(lengths[i : i + window]) for i in range(len(lengths))), default=0)
-        found = text_stretch(lengths, SURGE * top - 1, window)
-        stretches = sorted(found, key=lambda s: (-sum(lengths[s[0] : s[1]]), s))[:1]
+        paragraph = min(PARAGRAPH, max(lengths, default=0))
+        stretches = []
+        for a, b in text_stretch(lengths, SURGE * window * paragraph - 1, window):
+            gap = range(stretches[-1][1], a) if stretches else ()
+            if stretches and not any(lines[i][0] and not lengths[i] for i in gap):
+                stretches[-1] = (stretches[-1][0], b)  # only dropped parts and short lines lie between
+            else:
+                stretches.append((a, b))
+        stretches = [(a, b) for a, b in stretches if max(lengths[a:b]) >= paragraph]
     return [lines[i][0] for a, b in stretches for i in range(a, b) if lengths[i]]
 
 

@@ -202,6 +202,19 @@ def test_main_blocks(name):
     assert html_extract.main_blocks(html) == wanted
 
 
+def test_plain_pages_keep_every_part_of_the_article():
+    first, second, third = (f"{w} " * 40 + "end." for w in ("first", "second", "third"))
+    dropped = "".join(f'<div class="{c}">buy this</div>' for c in ("advert", "newsletter", "share", "promo"))
+    links = "".join(f'<p><a href="/{i}">read more about {i}</a></p>' for i in range(4))
+    for between in (dropped, links, dropped + "<p>Short line</p>" + dropped):
+        body = f"<html><body><div><p>{first}</p><p>{second}</p>{between}<p>{third}</p></div></body></html>"
+        want = [first, second, "Short line", third] if "Short" in between else [first, second, third]
+        assert html_extract.main_blocks(body) == want
+    opening = ["An opening line of the article.", "A second line that leads into it.", "A third line before the long one."]
+    lines = [*opening, "long " * 2000 + "end.", *(f"{w} " * 20 + "end." for w in "abcde")]
+    assert html_extract.main_blocks("<div>" + "".join(f"<p>{x}</p>" for x in lines) + "</div>") == lines
+
+
 def test_extract_tables(spark):
     rows = [(i, "u", h, "x", "y") for i, (h, _) in enumerate(PAGES.values())] + [(None, None, None, None, None), (0, "u", PAGES["article"][0], "x", "y")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, blocks string, text string")
