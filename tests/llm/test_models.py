@@ -229,6 +229,21 @@ def test_base_scores(spark, messy, documents, quick, monkeypatch, common):
         assert all(r["score"] < 0 for r in got)
 
 
+def test_scores_use_the_shares_of_rare_words(spark, documents, quick, monkeypatch):
+    got = []
+    for common in (0, 200_000):
+        monkeypatch.setattr(lm.common_words, "__defaults__", (common,))
+        got.append(sorted((r["doc_id"], r["score"]) for r in lm.lm_scores(documents, PATH, training=remainder(7) != 2).collect()))
+    assert np.allclose(*got)
+
+
+def test_a_long_text_does_not_end_the_sample(spark, quick, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(lm, "train", lambda texts, *a, **b: sizes.extend(map(len, texts)) or lm.new_weights())
+    lm.lm_scores(spark.createDataFrame([(i, "some words " * 15_000) for i in range(8)], "doc_id bigint, text string"), PATH, training=F.lit(True))
+    assert len(sizes) == 7 and min(sizes) > 0
+
+
 def test_without_training_texts(spark, nothing, messy, quick):
     assert lm.lm_scores(nothing, PATH, training=remainder(7) != 2).count() == 0
     got = lm.lm_scores(messy, PATH, training=F.lit(False)).collect()
