@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import chat, dedup, html_extract, lm, mixing, packing, quality, secret_scan, simhash, toxicity
+from curaspark.llm import chat, dedup, html_extract, lines, lm, mixing, packing, quality, secret_scan, simhash, toxicity
 from curaspark.llm.common import table
+from curaspark.session import cut_lineage
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -88,9 +89,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.col("keep_key").alias("keep_id"), "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents arrive in two halves; the second meets the filters of the first."""
+    documents = table(spark, sf_dir, "documents")
+    index = lines.LineIndex.create(spark)
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    for arrival in (0, 1):
+        index.insert(documents.filter(half == arrival))
+    kept = index.kept_lines(documents)
+    result = cut_lineage(kept.select("doc_id", lines.n_lines(F.col("text")).alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256")))
+    index.drop()
+    return result
+
+
 QUERIES: dict[str, QueryFn] = {
     f.__name__: f
-    for f in (op1_best_fit_pack, op2_secret_scan, op3_html_extract, op4_toxicity, op5_simhash_groups, op6_lm_score, op7_chat_format, op8_mix_sources, op9_quality_rules, op10_exact_dedup)
+    for f in (op1_best_fit_pack, op2_secret_scan, op3_html_extract, op4_toxicity, op5_simhash_groups, op6_lm_score, op7_chat_format, op8_mix_sources, op9_quality_rules, op10_exact_dedup, op13_line_dedup)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -132,4 +146,13 @@ ORACLES: dict[str, str] = {
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS content FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY content) AS keep_id, count(*) OVER (PARTITION BY content) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY content) AS kept, sha256(content) AS text_sha256 FROM d""",
+    "op13_line_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
+        k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        shared AS (SELECT key, min(doc_id) AS keep FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+        m AS (SELECT k.*, keep IS NOT NULL AND keep <> doc_id AS gone FROM k LEFT JOIN shared USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY r, doc_id""",
 }
