@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import chat, dedup, html_extract, lines, lm, mixing, packing, quality, secret_scan, simhash, toxicity
+from curaspark.llm import chat, dedup, divergence, html_extract, lines, lm, mixing, packing, quality, repair, secret_scan, simhash, toxicity
 from curaspark.llm.common import table
+from curaspark.operators.groups import attach
 from curaspark.session import cut_lineage
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +90,33 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.col("keep_key").alias("keep_id"), "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults put in by a hash of identifier and turn; nulls become one space."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    kind = F.crc32(key) % 20
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    copies = F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")
+    rows = conversations.filter(kind != 0).select("conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"), text.alias("text"), copies)
+    return rows.drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    rows = cut_lineage(damaged(conversations))
+    repaired = repair.repair(rows)
+    out = conversations.select("conv_id").distinct()
+    for more in (repair.turn_gaps(rows), repaired.audits, repair.digests(repaired.turns)):
+        out = attach(out, more, ["conv_id"])
+    numbers = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    audit = F.coalesce("audit", F.lit("")).alias("audit")
+    return out.select("conv_id", *numbers, audit, F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents arrive in two halves; the second meets the filters of the first."""
     documents = table(spark, sf_dir, "documents")
@@ -104,7 +132,7 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFn] = {
     f.__name__: f
-    for f in (op1_best_fit_pack, op2_secret_scan, op3_html_extract, op4_toxicity, op5_simhash_groups, op6_lm_score, op7_chat_format, op8_mix_sources, op9_quality_rules, op10_exact_dedup, op13_line_dedup)
+    for f in (op1_best_fit_pack, op2_secret_scan, op3_html_extract, op4_toxicity, op5_simhash_groups, op6_lm_score, op7_chat_format, op8_mix_sources, op9_quality_rules, op10_exact_dedup, op11_conversation_repair, op12_source_divergence, op13_line_dedup)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -146,6 +174,62 @@ ORACLES: dict[str, str] = {
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS content FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY content) AS keep_id, count(*) OVER (PARTITION BY content) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY content) AS kept, sha256(content) AS text_sha256 FROM d""",
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE steps AS (SELECT list(c ORDER BY i) AS t FROM (
+            SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i))),
+        raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                       [4294967295] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT) AS bytes FROM conversations),
+        hashed AS (SELECT raw.*, xor(list_reduce(bytes, lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])), 4294967295) % 20 AS k FROM raw, steps),
+        damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+                           CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy
+                    FROM hashed WHERE k <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM damaged),
+        f AS (SELECT conv_id, i, role, text, role[1] AS initial, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS earlier, turn,
+                     CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN seen > 1 THEN 'd' WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) IN ('.', '!', '?') THEN '' ELSE 't' END AS fault FROM o),
+        -- from the last row to the first: cheapest way on from each grammar state (nothing yet, after system, user, assistant) as cost, edits and lines
+        go AS (SELECT conv_id, max(i) + 1 AS i, {'c': 0, 'e': '', 'l': ''} AS n, {'c': 4, 'e': 'II', 'l': chr(10) || 'user:' || chr(10) || 'assistant:'} AS s,
+                      {'c': 2, 'e': 'I', 'l': chr(10) || 'assistant:'} AS u, {'c': 0, 'e': '', 'l': ''} AS a FROM f GROUP BY conv_id
+               UNION ALL
+               SELECT conv_id, i, list_min([n, {'c': u2.c + 2, 'e': 'I' || u2.e, 'l': chr(10) || 'user:' || u2.l}]), list_min([s, {'c': u2.c + 2, 'e': 'I' || u2.e, 'l': chr(10) || 'user:' || u2.l}]), u2, a2
+               FROM (SELECT *, list_min([u, {'c': a.c + 2, 'e': 'I' || a.e, 'l': chr(10) || 'assistant:' || a.l}]) AS u2, list_min([a, {'c': u.c + 2, 'e': 'I' || u.e, 'l': chr(10) || 'user:' || u.l}]) AS a2
+                     FROM (SELECT conv_id, i,
+                             list_min([{'c': n.c + 3, 'e': 'D' || n.e, 'l': n.l}] || CASE WHEN gone THEN [] ELSE [{'c': u.c + 2 + late, 'e': 'R' || u.e, 'l': chr(10) || 'user:' || text || u.l}] END
+                               || CASE WHEN gone OR initial <> 's' THEN [] ELSE [{'c': s.c + late, 'e': 'K' || s.e, 'l': line || s.l}] END
+                               || CASE WHEN gone OR initial <> 'u' THEN [] ELSE [{'c': u.c + late, 'e': 'K' || u.e, 'l': line || u.l}] END) AS n,
+                             list_min([{'c': s.c + 3, 'e': 'D' || s.e, 'l': s.l}] || CASE WHEN gone THEN [] ELSE [{'c': u.c + 2 + late, 'e': 'R' || u.e, 'l': chr(10) || 'user:' || text || u.l}] END
+                               || CASE WHEN gone OR initial <> 'u' THEN [] ELSE [{'c': u.c + late, 'e': 'K' || u.e, 'l': line || u.l}] END) AS s,
+                             list_min([{'c': u.c + 3, 'e': 'D' || u.e, 'l': u.l}] || CASE WHEN gone THEN [] ELSE [{'c': a.c + 2 + late, 'e': 'R' || a.e, 'l': chr(10) || 'assistant:' || text || a.l}] END
+                               || CASE WHEN gone OR initial <> 'a' THEN [] ELSE [{'c': a.c + late, 'e': 'K' || a.e, 'l': line || a.l}] END) AS u,
+                             list_min([{'c': a.c + 3, 'e': 'D' || a.e, 'l': a.l}] || CASE WHEN gone THEN [] ELSE [{'c': u.c + 2 + late, 'e': 'R' || u.e, 'l': chr(10) || 'user:' || text || u.l}] END
+                               || CASE WHEN gone OR initial <> 'u' THEN [] ELSE [{'c': u.c + late, 'e': 'K' || u.e, 'l': line || u.l}] END) AS a
+                           FROM (SELECT f.conv_id, f.i, n, s, u, a, text, initial, fault IN ('b', 'd') AS gone, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS late, chr(10) || role || ':' || text AS line
+                                 FROM go JOIN f ON f.conv_id IS NOT DISTINCT FROM go.conv_id AND f.i = go.i - 1)))),
+        counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+                          count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (i > 1 AND coalesce(earlier, '') || coalesce(initial, '') NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+        SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(go.n.c, 0)::BIGINT AS cost, coalesce(go.n.e, '') AS audit, sha256(coalesce(substr(go.n.l, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN go ON go.conv_id IS NOT DISTINCT FROM c.conv_id AND go.i = 1""",
+    "op12_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL),
+        k AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+        v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+        kc AS (SELECT lang, source, term, c.n FROM c JOIN k USING (lang, term)),
+        g AS (SELECT d.lang, d.source, coalesce(any_value(t.n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) d
+              LEFT JOIN (SELECT lang, source, sum(n) AS n FROM kc GROUP BY ALL) t ON t.lang = d.lang AND t.source = d.source GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(kc.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(kc.n, 0) + 2)) // (g.total + 2 * v.v) AS p,
+                     1 + (1000000000::HUGEINT * (k.n + 2)) // (v.total + 2 * v.v) AS q
+              FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN kc ON kc.lang = g.lang AND kc.source = g.source AND kc.term = k.term),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+                  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+                  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+                  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts)
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10""",
     "op13_line_dedup": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
