@@ -22,10 +22,12 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from curaspark.functions.prompts import images_or_image, question_or_prompt
 
@@ -113,13 +115,14 @@ def _call(reward: Reward, rows: list[dict[str, Any]]) -> list[dict[str, float]]:
     return fn([r["response"] for r in rows], [r["ground_truth"] for r in rows], **more)
 
 
-def _checked(reward: Reward, rows: list[dict[str, Any]]) -> dict[str, list]:
+def _checked(reward: Reward, rows: list[dict[str, Any]]) -> list[tuple[float, dict[str, float]]]:
+    """(overall, metrics) of every row."""
     scores = _call(reward, rows)
     if len(scores) != len(rows):
         raise ValueError(f"reward {reward.name} gave {len(scores)} scores for {len(rows)} rows")
     if any("overall" not in s for s in scores):
         raise ValueError(f"reward {reward.name} gave a score without overall")
-    return {"overall": [float(s["overall"]) for s in scores], "metrics": [{k: float(v) for k, v in s.items() if k != "overall"} for s in scores]}
+    return [(float(s["overall"]), {k: float(v) for k, v in s.items() if k != "overall"}) for s in scores]
 
 
 def score_rows(rows: DataFrame, name: str, out: str = "reward", batch: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
@@ -147,22 +150,72 @@ def score_rows(rows: DataFrame, name: str, out: str = "reward", batch: Sequence[
         @F.pandas_udf(SCORE)
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
-                yield pd.DataFrame(_checked(reward, pdf.to_dict("records")))
+                yield pd.DataFrame(_checked(reward, pdf.to_dict("records")), columns=["overall", "metrics"])
 
         return rows.withColumn(out, run(F.struct(*[c.alias(k) for k, c in inputs.items()])))
 
     if not batch:
         raise ValueError(f"reward {name} sees a whole batch: name the columns that tell batches apart")
 
-    columns, names, by = rows.columns, list(inputs), list(order)
+    return _score_batches(rows, reward, inputs, out, batch, order)
 
-    def score_batch(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(by, kind="stable") if by else pdf
-        given = pdf[[f"__in_{k}" for k in names]].rename(columns=lambda c: c.removeprefix("__in_"))
-        scores = _checked(reward, given.to_dict("records"))
-        return pdf[columns].assign(__overall=scores["overall"], __metrics=scores["metrics"])
 
-    shaped = rows.withColumns({f"__in_{k}": c for k, c in inputs.items()})
-    schema = StructType(rows.schema.fields + StructType.fromDDL("__overall double, __metrics map<string,double>").fields)
-    scored = shaped.groupBy(*batch).applyInPandas(score_batch, schema)
-    return scored.withColumn(out, F.struct(F.col("__overall").alias("overall"), F.col("__metrics").alias("metrics"))).drop("__overall", "__metrics")
+SCORED = pa.struct([("overall", pa.float64()), ("metrics", pa.map_(pa.string(), pa.float64()))])
+
+
+def _score_batches(rows: DataFrame, reward: Reward, inputs: dict[str, Column], out: str, batch: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Scores of a reward that sees whole batches: a worker takes many batches in one pass.
+
+    Rows are dealt out and sorted by their batch. A worker cuts what it reads where a batch ends and carries an unfinished batch over
+    to what it reads next, so the size of the transfer decides nothing. Only the inputs become Python values; the other columns
+    pass through as they came.
+    """
+    plain = list(inputs)
+    names = [f"__in_{k}" for k in plain]
+    key = F.to_json(F.struct(*[F.col(f"`{c}`") for c in batch]))
+    shaped = rows.withColumns({**{f"__in_{k}": c for k, c in inputs.items()}, "__batch": key})
+    shaped = shaped.repartition("__batch").sortWithinPartitions("__batch", *order)
+    width = len(rows.columns)
+    # by number, for the way to Python takes no names with dots
+    shaped = shaped.toDF(*[f"__{i}" for i in range(width)], *names, "__batch")
+
+    def scored(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole batches, end to end."""
+        table = pa.Table.from_batches(parts).combine_chunks()
+        given = table.select(names).rename_columns(plain).to_pylist()
+        ends = [*_batch_starts(table["__batch"].combine_chunks())[1:], table.num_rows]
+        scores: list[tuple] = []
+        start = 0
+        for end in ends:
+            scores += _checked(reward, given[start:end])
+            start = end
+        column = pa.array([{"overall": o, "metrics": m} for o, m in scores], SCORED)
+        for piece in pa.Table.from_arrays([*table.columns[:width], column], names=[*table.column_names[:width], "__score"]).to_batches():
+            yield piece
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for part in batches:
+            if not part.num_rows:
+                continue
+            starts = _batch_starts(part["__batch"])
+            if held and part["__batch"][0].as_py() != last:
+                yield from scored(held)
+                held = []
+            if len(starts) > 1:
+                yield from scored([*held, part.slice(0, starts[-1])])
+                held = []
+            held.append(part.slice(starts[-1]))
+            last = part["__batch"][part.num_rows - 1].as_py()
+        if held:
+            yield from scored(held)
+
+    schema = StructType([StructField(f"__{i}", f.dataType) for i, f in enumerate(rows.schema.fields)] + [StructField("__score", StructType.fromDDL(SCORE))])
+    return shaped.mapInArrow(run, schema).toDF(*rows.columns, out)
+
+
+def _batch_starts(keys: pa.Array) -> list[int]:
+    """Where a new batch begins in a sorted column of batch names; names are never null."""
+    changes = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
+    return [0, *(changes.nonzero()[0] + 1).tolist()]

@@ -1,5 +1,7 @@
 """Rewards that users register by name, over the answers of evaluated models."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from curaspark.operators import registry
@@ -73,3 +75,31 @@ def relative_length_reward(reward_inputs):
 def user_reward_batch(spark, sf):
     # a batch is what belongs to one item, over all models
     return _scored(spark, sf, "relative_length", relative_length_reward, None, "of", batch=["item"])
+
+
+@query(
+    "user_reward_file",
+    with_views("eval_records")
+    + """, scored AS (SELECT model, dataset, 0.75 * CASE WHEN contains(model_response, ground_truth) THEN 1 ELSE 0 END + 0.25 * CASE WHEN item % 5 = 0 THEN 0 ELSE item % 4 END / 4.0 AS overall,
+        length(CONCAT('Question ', item)) + length(ground_truth) + length(dataset) AS detail FROM eval_records)"""
+    + SCORED_SQL,
+    doubles=("overall", "detail"),
+)
+def user_reward_file(spark, sf):
+    """A reward of the list interface, loaded from its file; it asks for the question, further answers and the images.
+
+    The question stands under ``raw_prompt_text`` and the images under ``image``, which serve where the first names are missing.
+    """
+    records = view(spark, sf, "eval_records", wide=True).withColumnsRenamed({"model_response": "response"})
+    records = records.withColumns(
+        {
+            "raw_prompt_text": F.concat(F.lit("Question "), F.col("item").cast("string")),
+            "description_answers": F.array("ground_truth", "dataset"),
+            "image": F.when(F.col("item") % 5 != 0, F.array_repeat(F.lit("image"), (F.col("item") % 4).cast("int"))),
+        }
+    )
+    reward = registry.load_reward(os.path.join(os.path.dirname(__file__), "example_reward.py"), weight=0.75)
+    scored = registry.score_rows(records, reward.name, batch=["item"], order=["model", "dataset"])
+    return scored.groupBy("model", "dataset").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("reward.overall"), 4).alias("overall"), F.round(F.sum(F.col("reward.metrics")["asked"]), 4).alias("detail")
+    )

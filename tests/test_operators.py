@@ -312,6 +312,16 @@ def test_registry_kinds(spark, tmp_path):
         registry.score_rows(df, "bad", batch=["id"]).collect()
 
 
+def test_batches_are_told_apart_whatever_their_names(spark):
+    """Null, empty and odd batch names, a column of a nested type that passes through, and names with dots."""
+    rows = [(i, *b, [i, None], "r" * i, "") for i, b in enumerate([(None, "a"), ("", "a"), (None, None), ("a", None), ("a", "a"), (None, "a"), ("\x1f", ""), ("a.b", "")])]
+    df = spark.createDataFrame(rows, "id int, `x.y` string, z string, kept array<int>, response string, ground_truth string")
+    registry.register_reward("size", lambda reward_inputs: [{"overall": len(reward_inputs), "first": reward_inputs[0]["response_length"]} for _ in reward_inputs], "batch")
+    got = {r["id"]: (r["reward"]["overall"], r["reward"]["metrics"]["first"], r["kept"]) for r in registry.score_rows(df, "size", batch=["x.y", "z"], order=["id"]).collect()}
+    assert got == {i: (2.0 if i in (0, 5) else 1.0, 0.0 if i == 5 else float(i), [i, None]) for i in range(8)}
+    assert registry.score_rows(df.limit(0), "size", batch=["z"]).count() == 0
+
+
 def test_batch_rewards_see_their_whole_batch(spark):
     """However rows are sliced on their way to Python, a batch is scored at once and in order."""
     df = spark.range(1000).select(F.col("id"), (F.col("id") % 3).alias("step"), F.repeat(F.lit("x"), (F.col("id") % 7).cast("int")).alias("response"), F.lit("").alias("ground_truth"))
@@ -320,6 +330,8 @@ def test_batch_rewards_see_their_whole_batch(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
     try:
         got = registry.score_rows(df.repartition(5), "place", batch=["step"], order=["id"]).collect()
+        small = registry.score_rows(df, "place", batch=["response"], order=["id"]).orderBy("id").collect()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert registry.score_rows(df, "place", batch=["response"], order=["id"]).orderBy("id").collect() == small
     assert all(r["reward"]["overall"] == r["id"] // 3 and r["reward"]["metrics"]["of"] == (334 if r["step"] == 0 else 333) for r in got) and len(got) == 1000
