@@ -38,7 +38,7 @@ from curaspark.session import cut_lineage, release
 MIN_DOCS = 10
 TOP_TERMS = 10
 STRETCH = 4_000_000  # bytes of text whose terms are sorted at once
-ROWS_PER_BUCKET = 100_000  # rows of (source, term) that are compared in one task
+ROWS_PER_BUCKET = 20_000  # rows of (source, term) that are compared in one task
 SOURCES_PER_BLOCK = 64
 BILLION = 1_000_000_000
 PACKED = 16  # bytes of the longest term that is packed

@@ -38,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curaspark.llm.common import sent_if_small
 from curaspark.llm.cuckoo import CuckooFilter, Full
 from curaspark.operators.groups import attach
 from curaspark.session import cut_lineage, release, shared_path
 
 MIN_CHARS = 10
 KEYS_PER_SHARD = 200_000
+SENT = 500_000  # digests that may be sent to all executors, some 20 bytes each; more are joined by a shuffle
 SPARE = 2.5  # room of a new filter, as a multiple of what it holds at first
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -258,14 +260,17 @@ class LineIndex:
         return references.groupBy("digest", "doc_id").agg(F.sum("change").alias("held")).filter("held > 0")
 
     def _holders(self, references: DataFrame, digests: DataFrame) -> DataFrame:
-        return self._positive(references.join(digests, "digest", "left_semi"))
+        """Who holds the given digests. Few digests are sent to the references, so that a line all documents hold stays where it is."""
+        return self._positive(references.join(sent_if_small(digests, SENT), "digest", "left_semi"))
 
     def repeated(self) -> DataFrame:
         """(digest, doc_id, keep): every document that holds a key of two or more, and the one that keeps its lines."""
-        holders = cut_lineage(self._holders(self._read("references"), self._read("repeats").distinct()))
+        repeats = cut_lineage(self._read("repeats").distinct())
+        holders = cut_lineage(self._holders(self._read("references"), repeats))
         # nulls are smaller than any identifier
         keys = holders.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id")).alias("keep"))
-        return holders.join(keys.filter("n >= 2"), "digest").select("digest", "doc_id", F.col("keep.doc_id").alias("keep"))
+        keys = cut_lineage(keys.filter("n >= 2"))
+        return holders.join(sent_if_small(keys, SENT), "digest").select("digest", "doc_id", F.col("keep.doc_id").alias("keep"))
 
     def kept_lines(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
         """The documents with two more columns: ``__kept``, the text that stays, and ``__dropped``, the number of lines that go."""
