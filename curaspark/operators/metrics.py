@@ -71,7 +71,7 @@ def flatten_metrics(logs: DataFrame, keys: Sequence[str], log: str = "log") -> D
 
 
 def length_metrics(rows: DataFrame, batch: Sequence[str], max_prompt: int, max_response: int) -> DataFrame:
-    """Mean, max, min and share at the limit, of prompt and response lengths."""
+    """Mean, max, min of prompt and response lengths, and the share that reaches the limit."""
     out = []
     for name, limit in (("prompt", max_prompt), ("response", max_response)):
         n = F.col(f"{name}_length").cast("double")
@@ -79,7 +79,7 @@ def length_metrics(rows: DataFrame, batch: Sequence[str], max_prompt: int, max_r
             F.avg(n).alias(f"{name}_length/mean"),
             F.max(n).alias(f"{name}_length/max"),
             F.min(n).alias(f"{name}_length/min"),
-            F.avg((n == limit).cast("double")).alias(f"{name}_length/clip_ratio"),
+            F.avg((n >= limit).cast("double")).alias(f"{name}_length/clip_ratio"),
         ]
     return rows.groupBy(*batch).agg(*out)
 

@@ -18,16 +18,16 @@ from curaspark.plans.standins import table, view, with_views
 LENGTHS_SQL = (
     with_views("turns")
     + r""", n AS (SELECT uid, turn, step, len(regexp_extract_all(text, '[^\t-\r\x1c-\x20\x85\p{Z}]+')) AS n FROM turns),
-lengths AS (SELECT r.uid, r.turn, r.step, LEAST(p.n, 30) AS prompt_length, LEAST(r.n, 60) AS response_length FROM n r JOIN n p ON p.uid = r.uid AND p.turn = r.turn - 1)
+lengths AS (SELECT r.uid, r.turn, r.step, p.n AS prompt_length, r.n AS response_length FROM n r JOIN n p ON p.uid = r.uid AND p.turn = r.turn - 1)
 """
 )
 
 
 def _lengths(spark, sf):
-    """Every turn is the response to the turn before it."""
+    """Every turn is the response to the turn before it; lengths are those of whole turns."""
     n = view(spark, sf, "turns", wide=True).select("uid", "turn", "step", F.size(words(F.col("text"))).alias("n"))
-    prompts = n.select("uid", (F.col("turn") + 1).alias("turn"), F.least("n", F.lit(30)).alias("prompt_length"))
-    return n.join(prompts, ["uid", "turn"]).select("uid", "turn", "step", "prompt_length", F.least("n", F.lit(60)).alias("response_length"))
+    prompts = n.select("uid", (F.col("turn") + 1).alias("turn"), F.col("n").alias("prompt_length"))
+    return n.join(prompts, ["uid", "turn"]).select("uid", "turn", "step", "prompt_length", F.col("n").alias("response_length"))
 
 
 @query(
@@ -36,7 +36,7 @@ def _lengths(spark, sf):
     + "SELECT step, "
     + ", ".join(
         f"ROUND(AVG({k}_length), 6) AS \"{k}_length/mean\", MAX({k}_length)::DOUBLE AS \"{k}_length/max\", MIN({k}_length)::DOUBLE AS \"{k}_length/min\", "
-        f"ROUND(AVG(CASE WHEN {k}_length = {m} THEN 1.0 ELSE 0.0 END), 6) AS \"{k}_length/clip_ratio\""
+        f"ROUND(AVG(CASE WHEN {k}_length >= {m} THEN 1.0 ELSE 0.0 END), 6) AS \"{k}_length/clip_ratio\""
         for k, m in (("prompt", 30), ("response", 60))
     )
     + " FROM lengths GROUP BY step",
