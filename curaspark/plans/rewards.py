@@ -50,16 +50,19 @@ def content_type_penalty(spark, sf):
 REWARD_VIEWS = ("proposal_rows", "proposal_samples", "easy_rollouts", "hard_rollouts")
 
 
-PROPOSER_SQL = (
-    with_views(*REWARD_VIEWS)
-    + PENALTY_SQL
-    + f""", solved AS (SELECT s.proposal_id, s.sample_id, AVG(CASE WHEN TRY_CAST(trim(e.answer) AS DOUBLE) = TRY_CAST(p.easy_answer AS DOUBLE) THEN 1.0 ELSE 0.0 END) AS solv
+# solvability and difficulty of the rendered samples of proposal_rows
+SAMPLES_SQL = f"""solved AS (SELECT s.proposal_id, s.sample_id, AVG(CASE WHEN TRY_CAST(trim(e.answer) AS DOUBLE) = TRY_CAST(p.easy_answer AS DOUBLE) THEN 1.0 ELSE 0.0 END) AS solv
   FROM proposal_samples s JOIN proposal_rows p USING (proposal_id) JOIN easy_rollouts e ON e.proposal_id = s.proposal_id AND e.sample_id = s.sample_id
   WHERE s.is_rendered GROUP BY 1, 2),
 classes AS (SELECT proposal_id, sample_id, {answer_key_sql('answer')} AS k, COUNT(*) AS n FROM hard_rollouts WHERE lower(trim(answer)) <> 'n/a' GROUP BY 1, 2, 3),
 hard AS (SELECT proposal_id, sample_id, MAX(n) / SUM(n) AS score FROM classes GROUP BY 1, 2),
 scored AS (SELECT s.proposal_id, s.sample_id, COALESCE(solv, 0.0) AS solv, COALESCE(LEAST(score, 1 - score), 0.0) AS diff
-  FROM proposal_samples s LEFT JOIN solved USING (proposal_id, sample_id) LEFT JOIN hard USING (proposal_id, sample_id) WHERE s.is_rendered),
+  FROM proposal_samples s LEFT JOIN solved USING (proposal_id, sample_id) LEFT JOIN hard USING (proposal_id, sample_id) WHERE s.is_rendered)"""
+
+PROPOSER_SQL = (
+    with_views(*REWARD_VIEWS)
+    + PENALTY_SQL
+    + f""", {SAMPLES_SQL},
 agg AS (SELECT proposal_id, SUM(LEAST(solv, 0.5) + diff) AS total, AVG(solv) AS avg_solv, AVG(diff) AS avg_diff, COUNT(*) AS rendered, COUNT(*) FILTER (solv > 0.5) AS capped FROM scored GROUP BY 1),
 cnt AS (SELECT proposal_id, COUNT(*) AS samples FROM proposal_samples GROUP BY 1),
 joined AS (SELECT p.*, COALESCE(total, 0) AS total, COALESCE(avg_solv, 0) AS avg_solv, COALESCE(avg_diff, 0) AS avg_diff, COALESCE(rendered, 0) AS rendered, COALESCE(capped, 0) AS capped,

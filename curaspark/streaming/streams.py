@@ -71,19 +71,106 @@ def latest_progress(spark: SparkSession, out: str) -> DataFrame:
     return last.select("shard", "r.done", "r.total")
 
 
+# ---------------------------------------------------------------- waiting for shards
+
+
+def wait_for_shards(
+    spark: SparkSession, folder: str, schema: str, expected: DataFrame, state: str, checkpoint: str, now: Column | None = None, files_per_batch: int = 64
+) -> None:
+    """Take in the files of rounds whose shards arrive in any order, and let a round go when it is complete or out of time.
+
+    ``expected`` has one row (round, shard, deadline) per shard to wait for; rows of the files name their ``round`` and
+    ``shard``. A shard that arrives twice counts once, as it came first. Below ``state`` the tables ``staged`` (rows, by batch and
+    round), ``arrivals`` (round, shard, batch, file) and ``released`` (rounds, with the shards they went without) are kept;
+    ``released_rows`` and ``missing_shards`` read them. What comes for a round that has gone stays in ``arrivals`` and is not
+    released. A round is decided on after the stream has taken in what is there, so a call without new files lets rounds
+    go whose deadline has passed. ``now`` is the time of the decision.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    stream = stream.withColumn("file", F.col("_metadata.file_path"))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").partitionBy("round").parquet(f"{state}/staged/batch={batch_id}")
+        arrived = batch.groupBy("round", "shard", "file").agg(F.count(F.lit(1)).alias("n"))
+        arrived.write.mode("overwrite").parquet(f"{state}/arrivals/batch={batch_id}")
+
+    run_available(stream, sink, checkpoint)
+    key_types = ", ".join(f"{c} {expected.schema[c].dataType.simpleString()}" for c in ("round", "shard"))
+    arrivals = _table(spark, f"{state}/arrivals", f"{key_types}, file STRING, n BIGINT, batch INT")
+    done = _table(spark, f"{state}/released", f"{key_types}, arrived BOOLEAN, late BOOLEAN, batch INT")
+    there = arrivals.select("round", "shard", F.lit(True).alias("arrived")).distinct()
+    waited = expected.join(there, ["round", "shard"], "left").join(done.select("round").distinct(), "round", "left_anti")
+    rounds = waited.groupBy("round").agg(F.every(F.col("arrived").isNotNull()).alias("complete"), F.max("deadline").alias("deadline"))
+    going = rounds.filter(F.col("complete") | (F.col("deadline") <= (F.current_timestamp() if now is None else now)))
+    decided = waited.join(going, "round").select("round", "shard", F.coalesce("arrived", F.lit(False)).alias("arrived"), (~F.col("complete")).alias("late"))
+    number = (done.agg(F.max("batch")).first()[0] or 0) + 1
+    decided.write.mode("overwrite").parquet(f"{state}/released/batch={number}")
+
+
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table written by batches; empty before the first."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(path)
+
+
+def released_rows(spark: SparkSession, state: str, schema: str) -> DataFrame:
+    """Rows of the rounds that have gone: of each shard the file that came first, as far as it had come by then."""
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    staged = _table(spark, f"{state}/staged", f"{schema}, file STRING, batch INT")
+    keys = ", ".join(f"{c} {staged.schema[c].dataType.simpleString()}" for c in ("round", "shard"))
+    arrivals = _table(spark, f"{state}/arrivals", f"{keys}, file STRING, n BIGINT, batch INT")
+    gone = _table(spark, f"{state}/released", f"{keys}, arrived BOOLEAN, late BOOLEAN, batch INT").filter("arrived").select("round", "shard")
+    first = arrivals.join(gone, ["round", "shard"], "left_semi").groupBy("round", "shard").agg(F.min(F.struct("batch", "file")).alias("f"))
+    return staged.join(first.select("round", "shard", "f.batch", "f.file"), ["round", "shard", "batch", "file"]).select(*names)
+
+
+def missing_shards(spark: SparkSession, state: str, keys: str) -> DataFrame:
+    """(round, shard) of the shards that rounds went without; ``keys`` gives the types of both columns."""
+    return _table(spark, f"{state}/released", f"{keys}, arrived BOOLEAN, late BOOLEAN, batch INT").filter("NOT arrived").select("round", "shard")
+
+
+# ---------------------------------------------------------------- caption memory
+
+
 def remember_captions(
-    spark: SparkSession, folder: str, schema: str, history: str, checkpoint: str, files_per_batch: int = 64
+    spark: SparkSession, folder: str, schema: str, state: str, checkpoint: str, use: Callable[[DataFrame, DataFrame, int], None], memory: int = 5, files_per_batch: int = 64
 ) -> None:
-    """Append the captions of each arriving batch to a history table (step, proposal_id, caption), by batch and step."""
+    """Captions (step, proposal_id, caption) as they arrive, next to those of the ``memory`` steps before them.
+
+    ``use(recent, batch, batch_id)`` gets the arriving rows and ``recent``: for each of their steps (``now``) the captions it looks
+    back on. Steps arrive in order, a step in one batch or several. The state is a table by batch and step; a batch first lets go of
+    steps that neither it nor a later one can look back on, so the state holds the last steps only, however many went by. What is let
+    go follows from earlier batches alone, so a batch that runs again finds what it found before.
+    """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.select("step", "proposal_id", "caption").write.mode("overwrite").partitionBy("step").parquet(f"{history}/batch={batch_id}")
+        batch = batch.select("step", "proposal_id", "caption")
+        held = _table(spark, state, f"{schema}, batch INT").filter(F.col("batch") < batch_id)
+        newest = held.agg(F.max("step")).first()[0]
+        if newest is not None:
+            _forget(spark, state, newest - memory)
+            held = _table(spark, state, f"{schema}, batch INT").filter(F.col("batch") < batch_id)
+        use(recent_captions(held.select(*batch.columns).unionByName(batch), batch.select("step").distinct(), memory), batch, batch_id)
+        batch.write.mode("overwrite").partitionBy("step").parquet(f"{state}/batch={batch_id}")
 
     run_available(stream, sink, checkpoint)
 
 
-def recent_captions(history: DataFrame, step: Column | int, memory: int = 5) -> DataFrame:
-    """Captions of the ``memory`` steps before ``step``; the table is partitioned by step, so older files are not read."""
-    s = F.lit(step) if isinstance(step, int) else step
-    return history.filter((F.col("step") >= s - memory) & (F.col("step") < s))
+def recent_captions(captions: DataFrame, steps: DataFrame, memory: int = 5) -> DataFrame:
+    """(now, step, proposal_id, caption): for every step of ``steps`` the captions of the ``memory`` steps before it."""
+    ahead = captions.select(F.explode(F.sequence(F.col("step") + 1, F.col("step") + memory)).alias("now"), "*")
+    return ahead.join(steps.select(F.col("step").alias("now")), "now")
+
+
+def _forget(spark: SparkSession, state: str, before: int) -> None:
+    """Delete the folders of steps before ``before``, and batches that hold none any more. A listing of a few folders."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(state).getFileSystem(spark._jsc.hadoopConfiguration())
+    for batch in files.listStatus(path(state)):
+        steps = [s.getPath() for s in files.listStatus(batch.getPath()) if s.isDirectory()]
+        old = [s for s in steps if int(s.getName().partition("=")[2]) < before]
+        for s in [batch.getPath()] if steps and len(old) == len(steps) else old:
+            files.delete(s, True)
