@@ -98,11 +98,38 @@ def test_stream_takes_only_new_files(spark, tmp_path):
 
 
 def test_caption_memory(spark, tmp_path):
-    folder, history, state = f"{tmp_path}/in", f"{tmp_path}/h", f"{tmp_path}/state"
+    """Each step finds the five before it, the state does not grow with the steps, and a call without new files does nothing."""
+    folder, held, state = f"{tmp_path}/in", f"{tmp_path}/held", f"{tmp_path}/state"
     schema = "step INT, proposal_id BIGINT, caption STRING"
-    for step in range(8):
-        spark.createDataFrame([(step, step, f"c{step}")], schema).write.mode("append").json(folder)
-        st.remember_captions(spark, folder, schema, history, state)
-    recent = st.recent_captions(spark.read.parquet(history), 7, memory=5)
-    assert sorted(r["step"] for r in recent.collect()) == [2, 3, 4, 5, 6]
-    assert "PartitionFilters: [isnotnull(step" in recent._jdf.queryExecution().executedPlan().toString()
+    seen = {}
+
+    def use(recent, batch, batch_id):
+        for r in recent.groupBy("now").agg(F.sort_array(F.collect_list("caption")).alias("c")).collect():
+            seen[r["now"]] = r["c"]
+
+    for step in range(12):
+        spark.createDataFrame([(step, step, f"c{step:02}")], schema).write.mode("append").json(folder)
+        for _ in range(1 + step % 2):
+            st.remember_captions(spark, folder, schema, held, state, use)
+        assert len(list((tmp_path / "held").glob("batch=*"))) <= 7
+    assert seen == {s: [f"c{p:02}" for p in range(max(0, s - 5), s)] for s in range(1, 12)}
+
+
+def test_rounds_wait_for_their_shards(spark, tmp_path):
+    """A round goes when it is complete or out of time; a shard counts as it came first; what comes too late stays out."""
+    folder, state, checkpoint = (f"{tmp_path}/{n}" for n in ("in", "state", "checkpoint"))
+    schema = "round INT, shard STRING, v INT"
+    expected = spark.createDataFrame([(r, s, d) for r, d in ((1, 10), (2, 10), (3, 99)) for s in "ab"], "round INT, shard STRING, d BIGINT").select("round", "shard", F.timestamp_seconds("d").alias("deadline"))
+
+    def arrive(second, *rows):
+        for r in rows:
+            spark.createDataFrame([r], schema).coalesce(1).write.mode("append").json(folder)
+        st.wait_for_shards(spark, folder, schema, expected, state, checkpoint, now=F.timestamp_seconds(F.lit(second)), files_per_batch=1)
+        got = sorted(map(tuple, st.released_rows(spark, state, schema).collect()))
+        return got, sorted(map(tuple, st.missing_shards(spark, state, "round INT, shard STRING").collect()))
+
+    assert arrive(1, (1, "a", 5), (2, "a", 6)) == ([], [])
+    assert arrive(2, (1, "a", 50), (1, "b", 7)) == ([(1, "a", 5), (1, "b", 7)], [])
+    assert arrive(10) == ([(1, "a", 5), (1, "b", 7), (2, "a", 6)], [(2, "b")])
+    assert arrive(20, (2, "b", 8), (3, "b", 9)) == ([(1, "a", 5), (1, "b", 7), (2, "a", 6)], [(2, "b")])
+    assert arrive(100) == ([(1, "a", 5), (1, "b", 7), (2, "a", 6), (3, "b", 9)], [(2, "b"), (3, "a")])
