@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from curaspark.functions import tokens as tk
 from curaspark.functions.text import let
 from curaspark.operators.groups import attach, top_per_group, with_group_stats
+from curaspark.operators.position import first_rows
 
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -144,9 +145,12 @@ def online_filter(rollouts: DataFrame, group: Sequence[str], score: str, low: fl
 
 
 def fill_quota(rollouts: DataFrame, group: str, arrival: str, quota: int) -> DataFrame:
-    """Rollouts of the first ``quota`` groups by arrival; an error when there are fewer."""
+    """Rollouts of the first ``quota`` groups by arrival; an error when there are fewer.
+
+    The last group to make it is found by counting ranges of arrivals, so no task sorts the groups of the quota.
+    """
     groups = rollouts.groupBy(group).agg(F.min(arrival).alias("__at"))
-    chosen = groups.orderBy("__at", group).limit(quota).select(group)
+    chosen = first_rows(groups, ["__at", group], quota).select(group)
     enough = F.assert_true(chosen.agg(F.count(F.lit(1))).scalar() >= quota, F.lit(f"fewer than {quota} groups"))
     kept = rollouts.join(chosen, group, "left_semi")
     return kept.withColumn("__ok", enough).filter(F.col("__ok").isNull()).drop("__ok")

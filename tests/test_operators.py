@@ -122,6 +122,35 @@ def test_positions(spark, ranges):
     assert placed.n == 5000 and got == list(range(5000))
 
 
+@pytest.mark.parametrize("ranges", [9, 60, 1000])
+def test_positions_on_two_levels(spark, monkeypatch, ranges):
+    """More ranges than the plan may hold bounds for, with nulls, texts and a hot leading column."""
+    monkeypatch.setattr(ps, "LITERAL_RANGES", 4)
+    rows = [(None if i % 5 == 0 else i % 2, f"k{i * 7919 % 4001}", i) for i in range(4001)]
+    placed = with_position(spark.createDataFrame(rows, "hot int, k string, v int"), ["hot", "k"], ranges=ranges)
+    want = [r[2] for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
+    assert [r["v"] for r in placed.rows.orderBy("pos").collect()] == want and placed.rows.columns == ["hot", "k", "v", "pos"]
+    assert [r["pos"] for r in placed.rows.select("pos").orderBy("pos").collect()] == list(range(4001))
+
+
+@pytest.mark.parametrize("k", [0, 1, 7, 1500, 2999, 3000, 9999])
+def test_first_rows(spark, monkeypatch, k):
+    monkeypatch.setattr(ps, "ROWS_PER_RANGE", 100)
+    df = spark.range(3000).select((F.col("id") * 7 % 10).alias("a"), (F.col("id") * 7919 % 3000).alias("b"), F.lit("x").alias("c"))
+    want = [(r["a"], r["b"]) for r in df.orderBy("a", "b").limit(k).collect()]
+    assert sorted((r["a"], r["b"]) for r in ps.first_rows(df, ["a", "b"], k).collect()) == want
+
+
+def test_half_of_all_groups_are_chosen_without_sorting_them(spark, monkeypatch):
+    from curaspark.operators import advantages as adv
+
+    monkeypatch.setattr(ps, "ROWS_PER_RANGE", 50)
+    df = spark.range(4000).select((F.col("id") % 1000).alias("uid"), F.col("id").alias("at"))
+    kept = adv.fill_quota(df, "uid", "at", 500)
+    assert sorted({r["uid"] for r in kept.collect()}) == list(range(500)) and kept.count() == 2000
+    assert "TakeOrdered" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def test_shards(spark):
     pos = F.col("id")
     for n, k in ((17, 8), (16, 8), (5, 8), (100, 7)):
