@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -176,6 +178,53 @@ def balance(df: DataFrame, key: Sequence[str], length: str, workers: int) -> Dat
     return ranked.rows.withColumn("worker", deal(F.col("__rank"), workers)).drop("__rank", "__neg")
 
 
+CLASSES = 65_536  # lengths are told apart as finely as this when rounds are planned
+
+
+def balance_level(df: DataFrame, key: Sequence[str], length: str, workers: int) -> DataFrame:
+    """Worker of every row: equal counts, and length sums that differ by at most the longest length.
+
+    Rows are taken longest first, in rounds of one row per worker. In a round the longest row goes to the worker with the least
+    so far, which never lets the difference grow beyond the spread within a round. Only rounds whose lengths differ matter, and
+    there are no more of them than distinct lengths: the driver plans them from the counts per length, and the plan is joined to the
+    rows by round and seat. In rounds of equal lengths seats are workers. A null length counts as 0.
+    """
+    size = F.coalesce(F.col(length), F.lit(0))
+    ranked = with_position(df.withColumn("__neg", -size), ["__neg", *key], out="__rank")
+    if ranked.n < workers:
+        raise ValueError(f"{ranked.n} rows for {workers} workers")
+    longest = df.agg(F.max(size)).first()[0]
+    width = max(1, -(-longest // CLASSES))  # lengths of one class count as its largest when rounds are planned
+    counts = df.groupBy((F.floor(size / F.lit(width)) * width).cast("bigint").alias("c")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).collect()
+    plan = _level_rounds([(r["c"], r["n"]) for r in counts], ranked.n, workers)
+    seats = df.sparkSession.createDataFrame(plan or [(-1, 0, 0)], "__round bigint, __seat int, __worker int")
+    rows = ranked.rows.withColumn("__round", F.floor(F.col("__rank") / F.lit(workers))).withColumn("__seat", (F.col("__rank") % workers).cast("int"))
+    placed = rows.join(seats, ["__round", "__seat"], "left")
+    return placed.withColumn("worker", F.coalesce("__worker", "__seat")).drop("__round", "__seat", "__worker", "__rank", "__neg")
+
+
+def _level_rounds(counts: list[tuple[int, int]], n: int, workers: int) -> list[tuple[int, int, int]]:
+    """(round, seat, worker) of the rounds whose lengths differ, and of the last one if it is short."""
+    ends = list(accumulate(k for _, k in counts))
+    sums = [0] * workers
+    mixed = {(end - 1) // workers for end in ends if end % workers} | ({n // workers} if n % workers else set())
+    plan = []
+    for turn in sorted(mixed):
+        first = bisect_right(ends, turn * workers)
+        lengths = []
+        for rank in range(turn * workers, min((turn + 1) * workers, n)):
+            while ends[first] <= rank:
+                first += 1
+            lengths.append(counts[first][0])
+        order = sorted(range(workers), key=lambda w: (sums[w], w))
+        for seat, (worker, size) in enumerate(zip(order, lengths)):
+            plan.append((turn, seat, worker))
+            sums[worker] += size - lengths[-1]  # what all get alike changes no difference
+        if len(lengths) < workers:
+            break
+    return plan
+
+
 def balance_report(balanced: Positioned, length: str, workers: int) -> DataFrame:
     """Length sums per worker before (contiguous chunks of the input order) and after balancing."""
     size = balanced.n // workers

@@ -9,6 +9,7 @@ from curaspark.operators.position import Positioned, with_position
 from curaspark.plans.catalog import query
 from curaspark.plans.rewards import rounded
 from curaspark.plans.standins import table, view, with_views
+from curaspark.session import cut_lineage
 
 POSITIONED_SQL = "WITH n AS (SELECT COUNT(*) AS n FROM orders), p AS (SELECT o_orderkey, o_custkey, o_orderpriority, ROW_NUMBER() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS pos FROM orders)\n"
 
@@ -162,6 +163,38 @@ def balance_assign(spark, sf):
     return bt.balance(_lengths(spark, sf), ["rollout_id"], "length", 8)
 
 
+# rounds of eight rows, longest first; in a round whose lengths differ the longest row goes to the worker with the least
+LEVEL_SQL = (
+    LENGTH_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """rounds AS (SELECT r // 8 AS t, list(length ORDER BY r) AS ls FROM ranked GROUP BY 1),
+    go AS (SELECT -1::BIGINT AS t, list_transform(range(8), lambda w: {'s': 0::BIGINT, 'w': w}) AS sums, range(8) AS seats
+        UNION ALL
+        SELECT t, list_transform(range(1, 9), lambda i: {'s': (o[i].s + COALESCE(ls[i], 0))::BIGINT, 'w': o[i].w}), list_transform(o, lambda x: x.w)
+        FROM (SELECT n.t, n.ls, CASE WHEN n.ls[1] = n.ls[8] THEN list_transform(list_sort(list_transform(sums, lambda x: {'w': x.w, 's': x.s})), lambda x: {'s': x.s, 'w': x.w}) ELSE list_sort(sums) END AS o
+              FROM go JOIN rounds n ON n.t = go.t + 1)),
+    dealt AS (SELECT rollout_id, length, pos, seats[r % 8 + 1] AS worker FROM ranked JOIN go ON go.t = r // 8)
+    """
+)
+
+
+@query("balance_level", LEVEL_SQL + " SELECT rollout_id, length, worker::INT AS worker FROM dealt")
+def balance_level(spark, sf):
+    return bt.balance_level(_lengths(spark, sf), ["rollout_id"], "length", 8).select("rollout_id", "length", "worker")
+
+
+@query(
+    "balance_level_report",
+    LEVEL_SQL
+    + """, n AS (SELECT floor(COUNT(*) / 8) AS size FROM dealt), b AS (SELECT SUM(length) AS s FROM dealt, n GROUP BY floor(pos / size)), a AS (SELECT SUM(length) AS s FROM dealt GROUP BY worker)
+    SELECT (SELECT MIN(s)::BIGINT FROM b) AS min, (SELECT MAX(s)::BIGINT FROM b) AS max, (SELECT (MAX(s) - MIN(s))::BIGINT FROM b) AS minmax_diff,
+           (SELECT MIN(s)::BIGINT FROM a) AS balanced_min, (SELECT MAX(s)::BIGINT FROM a) AS balanced_max, (SELECT ROUND(SUM(s) / 8, 6) FROM b) AS mean""",
+)
+def balance_level_report(spark, sf):
+    placed = with_position(cut_lineage(_lengths(spark, sf)), ["rollout_id"])
+    balanced = bt.balance_level(placed.rows, ["rollout_id"], "length", 8)
+    return rounded(bt.balance_report(Positioned(balanced, placed.n), "length", 8), "mean")
+
+
 @query(
     "balance_report",
     LENGTH_SQL

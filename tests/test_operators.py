@@ -228,6 +228,35 @@ def test_plan_and_clamp(spark):
     assert [bt.clamp_batch_size(n, 512) for n in (600, 512, 511, 100, 31, 5)] == [512, 512, 256, 64, 16, 16]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_level_balance(spark, seed):
+    """Equal counts; sums differ by at most the longest length, and on heavy tails by less than dealing in turns leaves."""
+    import random
+
+    rng = random.Random(seed)
+    sizes = [int(rng.paretovariate(0.8)) if seed else rng.randint(1, 5) for _ in range(1003)] + [None]
+    df = spark.createDataFrame(list(enumerate(sizes)), "id int, length bigint")
+    by_worker = {}
+    for r in bt.balance_level(df, ["id"], "length", 7).collect():
+        by_worker.setdefault(r["worker"], []).append(r["length"] or 0)
+    dealt = {}
+    for r in bt.balance(df.fillna(0), ["id"], "length", 7).collect():
+        dealt.setdefault(r["worker"], []).append(r["length"])
+    counts, sums = [len(v) for v in by_worker.values()], [sum(v) for v in by_worker.values()]
+    assert sorted(by_worker) == list(range(7)) and max(counts) - min(counts) <= 1 and sum(counts) == 1004
+    longest = max(s or 0 for s in sizes)
+    assert max(sums) - min(sums) <= longest
+    # plain version: all rounds one after the other
+    order = sorted(range(1004), key=lambda i: (-(sizes[i] or 0), i))
+    want = [0] * 7
+    for at in range(0, 1004, 7):
+        turn = [sizes[i] or 0 for i in order[at : at + 7]]
+        for w, x in zip(sorted(range(7), key=lambda w: (want[w], w)) if turn[0] != turn[-1] or len(turn) < 7 else range(7), turn):
+            want[w] += x
+    assert [sum(by_worker[w]) for w in range(7)] == want
+    assert max(sums) - min(sums) <= max(map(sum, dealt.values())) - min(map(sum, dealt.values())) or not seed
+
+
 def test_balance_and_micro_batches(spark):
     lengths = [(i, 50 + (i * 37) % 41) for i in range(40)]
     df = spark.createDataFrame(lengths, "id int, length int")
