@@ -220,3 +220,10 @@ def balance_report(spark, sf):
 def micro_batches(spark, sf):
     placed = with_position(_lengths(spark, sf), ["rollout_id"])
     return bt.micro_batches(placed.rows, ["rollout_id"], "length", 700).orderBy("pos")
+
+
+@query("batch_unpad", POSITIONED_SQL + "SELECT o_orderkey, pos FROM p")
+def batch_unpad(spark, sf):
+    """Padded and taken back."""
+    padded, _ = bt.pad_rows(_batch(spark, sf), 7)
+    return bt.unpad_rows(padded.rows).select("o_orderkey", "pos")

@@ -5,9 +5,10 @@ Files go to the shared folder of the session, so every executor sees them.
 
 from pyspark.sql import functions as F
 
+from curaspark import schemas
 from curaspark.operators import assemble
 from curaspark.operators import evaluate as ev
-from curaspark.plans import assembly
+from curaspark.plans import assembly, evaluation
 from curaspark.plans.catalog import query
 from curaspark.plans.evaluation import ACCURACY_SQL
 from curaspark.plans.standins import table, view, with_views
@@ -149,3 +150,11 @@ def io_shard_merge(spark, sf):
     fl.write_shards(sums.drop("worker"), F.pmod(F.col("n"), F.lit(8)).cast("int"), path)
     merged = fl.read_shard_folders(spark, path, "model STRING, dataset STRING, n BIGINT, chars BIGINT")
     return merged.groupBy("model", "dataset").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+
+
+@query("io_accuracy_summary", ACCURACY_SQL + "SELECT model, dataset, accuracy, correct, total FROM accuracy_summary")
+def io_accuracy_summary(spark, sf):
+    """The accuracy report, written as JSON lines and read again."""
+    path = shared_path(spark, "accuracy")
+    fl.write_accuracy_summary(evaluation.eval_accuracy(spark, sf), path)
+    return fl.read_jsonl(spark, path, schemas.ACCURACY_SUMMARY).select("model", "dataset", "accuracy", "correct", "total")

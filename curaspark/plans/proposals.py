@@ -294,3 +294,35 @@ def sample_examples_query(spark, sf):
 def sample_generations_query(spark, sf):
     turns = view(spark, sf, "turns").select(F.col("text").alias("input"), F.col("role").alias("output"), "rollout_id")
     return sample_generations(turns, "input", ["rollout_id"], n=20, seed=42)
+
+
+@query(
+    "message_videos",
+    """WITH p AS (SELECT conv_id, turn, string_split(CONCAT('<video>', replace(text, 'a ', '<video>')), '<video>') AS p FROM conversations),
+    u AS (SELECT conv_id, turn, UNNEST(p) AS piece, generate_subscripts(p, 1) AS i FROM p)
+    SELECT conv_id, turn, COUNT(*) FILTER (i > 1) AS n_videos, COUNT(*) FILTER (piece <> '') AS n_texts, string_agg(CASE WHEN i > 1 THEN '[video]' ELSE '' END || piece, '' ORDER BY i) AS flat FROM u GROUP BY conv_id, turn""",
+)
+def message_videos(spark, sf):
+    """Turns cut at their video tags."""
+    text = F.concat(F.lit("<video>"), F.replace("text", F.lit("a "), F.lit("<video>")))
+    parts = table(spark, sf, "conversations", wide=True).select("conv_id", "turn", pr.message_parts(text, "video").alias("parts"))
+    flat = F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit("[video]"))), "").alias("flat")
+
+    def count(kind):
+        return F.size(F.filter("parts", lambda p: p["type"] == kind)).cast("bigint")
+
+    return parts.select("conv_id", "turn", count("video").alias("n_videos"), count("text").alias("n_texts"), flat)
+
+
+@query(
+    "prompt_images",
+    """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 1 WHEN turn % 3 = 1 THEN len(string_split(text, ' ')) END AS n_images, CASE WHEN turn % 3 = 0 THEN text WHEN turn % 3 = 1 THEN string_split(text, ' ')[1] END AS first
+    FROM conversations""",
+)
+def prompt_images(spark, sf):
+    """Images under ``images``, else the one under ``image``, else none."""
+    rows = table(spark, sf, "conversations")
+    kind = F.col("turn") % 3
+    images = pr.images_or_image(F.when(kind == 1, F.split("text", " ")), F.when(kind == 0, F.array("text")))
+    found = rows.select("conv_id", "turn", images.alias("images"))
+    return found.select("conv_id", "turn", F.when(F.col("images").isNotNull(), F.size("images")).cast("bigint").alias("n_images"), F.get("images", F.lit(0)).alias("first"))

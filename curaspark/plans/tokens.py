@@ -168,3 +168,19 @@ def value_diagnostics(spark, sf):
     rows = token_rows(spark, sf).withColumn("predictions", F.transform("log_probs", lambda x: -x)).withColumn("returns", F.transform("old_log_probs", lambda x: -x))
     out = mt.value_diagnostics(rows, ["step"], "rollout_id", clip_range=0.15)
     return rounded(out, "vf_loss", "vf_loss_seq", "vf_clipfrac", "vpred_mean")
+
+
+@query(
+    "reward_tokens",
+    with_views("turns")
+    + r""", w AS (SELECT rollout_id, len(regexp_extract_all(text, '[^\t-\r\x1c-\x20\x85\p{Z}]+')) AS n FROM turns),
+    t AS (SELECT rollout_id, n, unnest(range(n + 3)) AS spot FROM w)
+    SELECT rollout_id, COUNT(*) AS width, SUM(CASE WHEN spot = n - 1 THEN n / 10.0 ELSE 0.0 END) AS total, COALESCE(MAX(spot) FILTER (spot = n - 1), -1)::BIGINT AS place FROM t GROUP BY rollout_id""",
+    doubles=("total",),
+)
+def reward_tokens(spark, sf):
+    """The score of a response on its last token, the padding behind it without reward."""
+    rows = view(spark, sf, "turns", wide=True).select("rollout_id", F.size(words(F.col("text"))).alias("n"))
+    rewards = rows.select("rollout_id", tk.reward_at_last_token(F.col("n") / 10.0, F.col("n"), F.col("n") + 3).alias("r"))
+    place = F.coalesce(F.array_position(F.transform("r", lambda x: x != 0.0), F.lit(True)) - 1, F.lit(-1)).cast("bigint")
+    return rewards.select("rollout_id", F.size("r").cast("bigint").alias("width"), F.aggregate("r", F.lit(0.0), lambda a, x: a + x).alias("total"), place.alias("place"))
