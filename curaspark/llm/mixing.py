@@ -134,7 +134,8 @@ def mix(
     """The documents of the mixture with their columns, each as often as it is taken."""
     sources = plan(cut_lineage(_sized(df, key, source, text, seed)), weights, max_epochs)
     sources = sources.select(F.col("source").alias("__source"), "whole", "last", F.lit(True).alias("__plan"))
-    joined = df.select(F.struct(*df.columns).alias("__row")).join(sources, F.col(f"__row.`{source}`").eqNullSafe(F.col("__source")))
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]  # names may hold dots
+    joined = df.select(F.struct(*quoted).alias("__row")).join(sources, F.col(f"__row.`{source}`").eqNullSafe(F.col("__source")))
     times = F.when(n_words(F.col(f"__row.`{text}`")) > 0, repetitions(place(F.col(f"__row.`{key}`"), seed))).otherwise(0)
     repeated = joined.withColumn("__times", times.cast("int")).filter("__times > 0").select("__row", F.explode(F.array_repeat(F.lit(0), F.col("__times"))))
     return repeated.select("__row.*")

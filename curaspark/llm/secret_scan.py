@@ -21,6 +21,8 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -105,6 +107,7 @@ def _names_algorithm(data: bytes, sequence: tuple[int, int, int]) -> bool:
 
 
 _SSH_MAGIC = b"openssh-key-v1\x00"
+_SSH_BASE64 = base64.b64encode(_SSH_MAGIC).decode()
 
 
 def openssh_key(data: bytes) -> int:
@@ -212,6 +215,39 @@ def wrapped_keys(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
     return out
 
 
+MOST_KEY = 65_536  # bytes of a key within a run; the largest RSA keys in use take a seventh of that
+
+
+def inner_keys(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of base64 keys inside a longer run: after a path or a word, with more behind them.
+
+    A DER sequence begins with M in base64 and says how long it is, so it is cut there. A look at a place takes a bounded time.
+    """
+    out, at = [], start
+    while 0 <= (at := text.find("M", at, end)):
+        head = decoded(text[at : at + 8])
+        size = key_size(head[-1]) if head else 0
+        need = -(-size * 4 // 3)
+        at += 1
+        if not MIN_ENCODED <= need or size > MOST_KEY or at - 1 + need > end:
+            continue
+        for data in decoded(text[at - 1 : at - 1 + need])[-1:]:
+            if kind := key_kind(data[:size]):
+                stop = at - 1 + need
+                while stop < end and text[stop] == "=":
+                    stop += 1
+                out.append((kind, at - 1, stop))
+                at = stop
+    at = start
+    while 0 <= (at := text.find(_SSH_BASE64, at, end)):
+        read = decoded(text[at : at + min(end - at, 2 * MOST_KEY) // 4 * 4])
+        if size := openssh_key(read[-1]) if read else 0:
+            out.append(("openssh", at, at + -(-size * 4 // 3)))
+            at += size
+        at += len(_SSH_BASE64)
+    return out
+
+
 def signed_token(token: str) -> bool:
     """header.payload.signature with a JSON header that names a signing algorithm and a signature of its length."""
     parts = token.split(".")
@@ -241,6 +277,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+class _Blocks:
+    """Spans by start, and how far the first so many of them reach."""
+
+    def __init__(self, found: set[tuple[str, int, int]]) -> None:
+        spans = sorted((a, b) for _, a, b in found)
+        self.starts = [a for a, _ in spans]
+        self.ends = list(accumulate((b for _, b in spans), max))
+
+    def reach(self, first: int) -> int:
+        """The furthest end of the first ``first`` spans."""
+        return self.ends[first - 1] if first else -1
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of encoded keys and signed tokens whose decoded bytes parse."""
     found = set()
@@ -254,23 +303,22 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             for data in decoded(body):
                 if kind := key_kind(data):
                     found.add((kind, m.start(), stop + len(tail)))
-    blocks = [(a, b) for _, a, b in found]
+    blocks = _Blocks(found)
     for m in _LINES.finditer(text):
-        if not any(a < m.start() < b for a, b in blocks):
+        if not blocks.reach(bisect_left(blocks.starts, m.start())) > m.start():
             found.update(wrapped_keys(text, *m.span()))
-    blocks = [(a, b) for _, a, b in found]
+    blocks = _Blocks(found)
     for m in _RUN.finditer(text):
-        if any(a <= m.start() < b or m.start() < a < m.end() for a, b in blocks):
+        first = bisect_right(blocks.starts, m.start())
+        if blocks.reach(first) > m.start() or first < bisect_left(blocks.starts, m.end()):
             continue  # the body of a block that is reported as a whole
         starts = [m.start()]
         if m[0][:2] in ("0x", "0X"):
             starts.append(m.start() + 2)
         if m.start() and text[m.start() - 1] == "\\" and m[0][0] in "nrt":
             starts.append(m.start() + 1)  # after an escaped line break
-        for start in starts:
-            for data in decoded(text[start : m.end()]):
-                if kind := key_kind(data):
-                    found.add((kind, start, m.end()))
+        whole = {(kind, start, m.end()) for start in starts for data in decoded(text[start : m.end()]) if (kind := key_kind(data))}
+        found.update(whole or inner_keys(text, *m.span()))
     found |= {("signed_token", *m.span()) for m in _TOKEN.finditer(text) if signed_token(m[0])}
     return list(found)
 

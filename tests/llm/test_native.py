@@ -113,6 +113,8 @@ def test_mix_rows(messy, nothing, documents):
     seen = {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()}
     assert seen == {k: v for k, v in times.items() if v}
     assert mixing.mix(messy).columns == messy.columns and mixing.mix(messy).count() > 0
+    dotted = documents.withColumn("a.b", F.lit(1)).withColumn("c`d", F.lit(2))
+    assert mixing.mix(dotted).columns == dotted.columns and mixing.mix(dotted).count() == got.count()
     assert mixing.mix(nothing).count() == 0 and mixing.mix_counts(nothing).count() == 0
 
 

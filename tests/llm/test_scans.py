@@ -153,6 +153,32 @@ def test_long_texts_take_linear_time():
         assert secret_scan.secret_spans(unit * 40_000) is not None
 
 
+def test_many_keys_take_linear_time():
+    import time
+
+    block = pem("PRIVATE KEY", PKCS8) + "\n"
+    start = time.process_time()
+    assert len(secret_scan.confirmed_spans(block * 8000)) == 8000
+    assert time.process_time() - start < 4
+    for unit in ("M", "MIIE", "MIP/", "b3BlbnNzaC1rZXktdjEA"):
+        secret_scan.confirmed_spans(unit * 20_000)
+    assert time.process_time() - start < 20
+
+
+@pytest.mark.parametrize("kind, data", [("pkcs8", PKCS8), ("pkcs8_encrypted", LOCKED), ("sec1", SEC1), ("openssh", SSH)])
+def test_keys_within_longer_runs(kind, data):
+    """After a path, behind other letters, with letters or another key after it."""
+    spelled = b64(data).rstrip("=")
+    for before, after in (("path/", ""), ("x/", " "), ("AB", ""), ("x", "Q"), ("/etc/keys/", "/more/of/a/path"), ("MMM", "M"), ("", "QQQQQ")):
+        text = f"é {before}{spelled}{after}"
+        spans = [(k, text[a:b]) for k, a, b in secret_scan.confirmed_spans(text)]
+        assert spans == [(kind, spelled)], (before, after)
+    if kind != "openssh":
+        assert len(secret_scan.confirmed_spans(spelled + "/" + spelled)) == 2
+    broken = b64(data[:-1] if kind != "openssh" else data[:-130]).rstrip("=")
+    assert not secret_scan.confirmed_spans(f"path/{broken}")
+
+
 # ---------------------------------------------------------------- pages
 
 ARTICLE = "<p>First paragraph of the text, long enough to be found.</p><p>Second &amp; last,\n with   <i>markup</i>&nbsp;inside.</p>"
