@@ -6,6 +6,7 @@ the text of a page begins where the sums surge and ends where they dive to nothi
 
 - If the page marks its article (``article``, or else ``main``), lines outside of it count as empty, and every surge inside
   belongs to the article, however small. Reader comments and teasers that are articles by name are not meant.
+- A form that marks an article or main part, or has more paragraphs than fields, wraps the page and is no form to fill in.
 - Otherwise lines that are mostly link text count as empty, a surge must reach a share of what a window of short paragraphs
   sums to, and every stretch with a paragraph is kept. Stretches with no links between them are one, whatever was dropped there.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -86,6 +88,34 @@ def _is_part(name: str, rest: str, inside: bool) -> bool:
     return False
 
 
+_FORM_END = re.compile(r"</form\b", re.I)
+_CONTENT = re.compile(r"<(?:article|main|p)\b", re.I)
+_FIELD = re.compile(r"<(?:input|select|textarea|button|option|label)\b", re.I)
+
+
+class _Forms:
+    """Tells forms that hold the page from forms to fill in, by what stands before their end. Positions are found once a page."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.ends: list[int] | None = None
+
+    def wraps(self, at: int) -> bool:
+        """Whether the form that opens before ``at`` marks an article or main part, or has more paragraphs than fields."""
+        if self.ends is None:
+            self.ends = [m.start() for m in _FORM_END.finditer(self.page)]
+            self.content = [m.start() for m in _CONTENT.finditer(self.page)]
+            self.marked = [m for m in self.content if self.page[m + 1] in "amAM"]
+            self.fields = [m.start() for m in _FIELD.finditer(self.page)]
+        i = bisect_left(self.ends, at)
+        end = self.ends[i] if i < len(self.ends) else len(self.page)
+
+        def count(places: list[int]) -> int:
+            return bisect_left(places, end) - bisect_left(places, at)
+
+        return count(self.marked) > 0 or count(self.content) > max(2, count(self.fields))
+
+
 def page_lines(page: str | None) -> list[tuple[str, int, int]]:
     """Lines of a page as (text, characters of link text, place): 2 inside an article, 1 inside the main part only, 0 else.
 
@@ -98,6 +128,7 @@ def page_lines(page: str | None) -> list[tuple[str, int, int]]:
     at, links, in_link = 0, 0, False
     dropped, depth = "", 0  # the element being dropped, and how many of its name are open within
     inside = {"article": 0, "main": 0}
+    forms = _Forms(page)
 
     def place() -> int:
         return 2 if inside["article"] else 1 if inside["main"] else 0
@@ -150,6 +181,8 @@ def page_lines(page: str | None) -> list[tuple[str, int, int]]:
             buffer.append(" ")
         if name == "a":
             in_link = not closing
+        if name == "form" and not closing and forms.wraps(at):
+            continue
         if not closing and name not in _VOID and not rest.endswith("/") and _is_part(name, rest, place() > 0):
             if name in _BLOCKS or not buffer:
                 end_line()

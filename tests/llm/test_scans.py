@@ -191,6 +191,9 @@ def page(body, head="<title>T</title><style>p{}</style><script>var a='</p><p>no'
 
 PAGES = {
     "article": (page(f"<nav><ul><li><a href=/x>Home</a></li></ul></nav><article><h1>Title</h1>{ARTICLE}</article><footer>&copy; me</footer>"), ["Title", *BLOCKS]),
+    "page in a form": (page(f"<form id='aspnetForm'><input type=hidden><div>x</div><article>{ARTICLE}</article><input><button>Go</button></form>"), BLOCKS),
+    "plain page in a form": (page(f"<form action=/><input type=hidden><div>{ARTICLE}<p>One more paragraph that is long enough to count, with some words.</p></div></form>"), [*BLOCKS, "One more paragraph that is long enough to count, with some words."]),
+    "form to fill in": (page(f"<article>{ARTICLE}<form><p>Write to us, we read all of it.</p><label>Name</label><input><textarea></textarea><button>Send</button></form></article>"), BLOCKS),
     "cut off": (f"<html><body><nav>menu</nav><article><h1>Title</h1>{ARTICLE}<p>Third one<foo", ["Title", *BLOCKS, "Third one"]),
     "unclosed menu": (page(f"<nav><ul><li>Home<article>{ARTICLE}</article><footer>x</footer>"), BLOCKS),
     "parts inside": (
