@@ -160,7 +160,7 @@ def _lengths(spark, sf):
 
 @query("balance_assign", LENGTH_SQL + _dealt_sql("8") + " SELECT rollout_id, length, worker::INT AS worker FROM dealt")
 def balance_assign(spark, sf):
-    return bt.balance(_lengths(spark, sf), ["rollout_id"], "length", 8)
+    return bt.balance(cut_lineage(_lengths(spark, sf)), ["rollout_id"], "length", 8)
 
 
 # rounds of eight rows, longest first; in a round whose lengths differ the longest row goes to the worker with the least
@@ -179,7 +179,7 @@ LEVEL_SQL = (
 
 @query("balance_level", LEVEL_SQL + " SELECT rollout_id, length, worker::INT AS worker FROM dealt")
 def balance_level(spark, sf):
-    return bt.balance_level(_lengths(spark, sf), ["rollout_id"], "length", 8).select("rollout_id", "length", "worker")
+    return bt.balance_level(cut_lineage(_lengths(spark, sf)), ["rollout_id"], "length", 8).select("rollout_id", "length", "worker")
 
 
 @query(
@@ -204,7 +204,7 @@ def balance_level_report(spark, sf):
            (SELECT MIN(s)::BIGINT FROM a) AS balanced_min, (SELECT MAX(s)::BIGINT FROM a) AS balanced_max, (SELECT ROUND(SUM(s) / 8, 6) FROM b) AS mean""",
 )
 def balance_report(spark, sf):
-    placed = with_position(_lengths(spark, sf), ["rollout_id"])
+    placed = with_position(cut_lineage(_lengths(spark, sf)), ["rollout_id"])
     balanced = bt.balance(placed.rows, ["rollout_id"], "length", 8)
     return rounded(bt.balance_report(Positioned(balanced, placed.n), "length", 8), "mean")
 
@@ -218,7 +218,7 @@ def balance_report(spark, sf):
     SELECT rollout_id, length, pos, micro_batch, workload FROM dealt JOIN o USING (worker)""",
 )
 def micro_batches(spark, sf):
-    placed = with_position(_lengths(spark, sf), ["rollout_id"])
+    placed = with_position(cut_lineage(_lengths(spark, sf)), ["rollout_id"])
     return bt.micro_batches(placed.rows, ["rollout_id"], "length", 700).orderBy("pos")
 
 
