@@ -160,9 +160,12 @@ def remember_captions(
 
 
 def recent_captions(captions: DataFrame, steps: DataFrame, memory: int = 5) -> DataFrame:
-    """(now, step, proposal_id, caption): for every step of ``steps`` the captions of the ``memory`` steps before it."""
-    ahead = captions.select(F.explode(F.sequence(F.col("step") + 1, F.col("step") + memory)).alias("now"), "*")
-    return ahead.join(steps.select(F.col("step").alias("now")), "now")
+    """(now, step, proposal_id, caption): for every step of ``steps`` the captions of the ``memory`` steps before it.
+
+    The steps of a batch are few numbers; they are sent to the captions, which are not shuffled.
+    """
+    asked = steps.select(F.col("step").alias("now"), F.explode(F.sequence(F.col("step") - memory, F.col("step") - 1)).alias("step"))
+    return captions.join(F.broadcast(asked), "step").select("now", *captions.columns)
 
 
 def _forget(spark: SparkSession, state: str, before: int) -> None:

@@ -115,6 +115,19 @@ def test_caption_memory(spark, tmp_path):
     assert seen == {s: [f"c{p:02}" for p in range(max(0, s - 5), s)] for s in range(1, 12)}
 
 
+def test_captions_are_not_shuffled_to_their_steps(spark):
+    """However large the captions are, the few steps go to them; a null step is remembered by none."""
+    captions = spark.createDataFrame([(0, 1, "a"), (0, 1, "a"), (4, 2, "b"), (None, 3, "c"), (5, 4, "d")], "step INT, proposal_id BIGINT, caption STRING")
+    steps = spark.createDataFrame([(5,), (6,), (None,)], "step INT")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        recent = st.recent_captions(captions, steps)
+        assert sorted(map(tuple, recent.collect())) == [(5, 0, 1, "a"), (5, 0, 1, "a"), (5, 4, 2, "b"), (6, 4, 2, "b"), (6, 5, 4, "d")]
+        assert "hashpartitioning" not in recent._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_rounds_wait_for_their_shards(spark, tmp_path):
     """A round goes when it is complete or out of time; a shard counts as it came first; what comes too late stays out."""
     folder, state, checkpoint = (f"{tmp_path}/{n}" for n in ("in", "state", "checkpoint"))
