@@ -11,7 +11,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curaspark.operators.position import Positioned, with_position
+from curaspark.operators.position import Positioned, with_position, written_positions
 
 def _pos() -> Column:
     return F.col("pos")
@@ -153,7 +153,7 @@ def plan_batches(
         parts = [F.lit(str(seed)), *[F.col(c).cast("string") for c in ("epoch", *key)]]
         rows = rows.withColumn("__hash", F.md5(F.concat_ws(":", *parts)))
         order = ["epoch", "__hash", *key]
-    placed = with_position(rows, order)
+    placed = written_positions(rows, order)
     n = placed.n // epochs
     pos = _pos() - F.col("epoch") * n
     planned = placed.rows.select(*key, "epoch", F.floor(pos / F.lit(size)).cast("int").alias("batch"), (pos % size).cast("int").alias("slot"))

@@ -57,6 +57,24 @@ def with_position(df: DataFrame, order: Sequence[str], out: str = "pos", ranges:
     return Positioned(ranged.withColumn(out, position).drop("__range"), n)
 
 
+def written_positions(df: DataFrame, order: Sequence[str], out: str = "pos") -> Positioned:
+    """As ``with_position``, for rows of a few short columns, which are sorted by ranges and written to the shared folder once.
+
+    A position is the place within the written range plus the rows of the ranges before it, so no row is compared with literal
+    bounds, and a task that runs again reads what was written.
+    """
+    n = df.count()
+    ranges = max(1, math.ceil(n / ROWS_PER_RANGE), min(n // 2000, df.sparkSession.sparkContext.defaultParallelism))
+    ordered = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    written = cut_lineage(ordered.select("*", F.spark_partition_id().alias("__range"), place.alias("__place")))
+    counts = written.groupBy("__range").agg(F.count(F.lit(1)).alias("k"))
+    before = F.sum("k").over(Window.orderBy("__range")) - F.col("k")  # a row per range
+    starts = counts.select(F.col("__range").alias("__r"), before.alias("__start"))
+    placed = written.join(F.broadcast(starts), F.col("__range") == F.col("__r"))
+    return Positioned(placed.withColumn(out, F.col("__start") + F.col("__place")).drop("__range", "__place", "__r", "__start"), n)
+
+
 def _two_levels(ranged: DataFrame, order: Sequence[str], out: str, bounds: list[str], n: int, parts: int) -> DataFrame:
     """Positions when the plan cannot hold all bounds: every range is cut into about ``parts`` at bounds of its own.
 

@@ -228,6 +228,23 @@ def test_plan_and_clamp(spark):
     assert [bt.clamp_batch_size(n, 512) for n in (600, 512, 511, 100, 31, 5)] == [512, 512, 256, 64, 16, 16]
 
 
+def test_batches_are_planned_from_written_positions(spark, monkeypatch):
+    """Positions count nulls first and rows that come twice, over many ranges, and no row is compared with literal bounds."""
+    from curaspark.operators import position
+
+    keys = [*range(500), *range(100), None, None]
+    df = spark.createDataFrame([(k,) for k in keys], "k int").repartition(7)
+    monkeypatch.setattr(position, "ROWS_PER_RANGE", 50)
+    monkeypatch.setattr(position, "_range_of", None)
+    placed = position.written_positions(df, ["k"])
+    got = sorted((r["pos"], r["k"]) for r in placed.rows.collect())
+    assert placed.n == len(keys)
+    assert got == list(enumerate(sorted(keys, key=lambda k: (k is not None, k))))
+    plan = bt.plan_batches(df, ["k"], 100, epochs=2, seed=3)
+    assert {(r["epoch"], r["batch"]): r["count"] for r in plan.groupBy("epoch", "batch").count().collect()} == {(e, b): 100 for e in range(2) for b in range(6)}
+    assert bt.plan_batches(df.limit(0), ["k"], 10).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_level_balance(spark, seed):
     """Equal counts; sums differ by at most the longest length, and on heavy tails by less than dealing in turns leaves."""
