@@ -68,13 +68,30 @@ def read_eval_responses(
     pattern = f"{root}/{model or '*'}/{dataset or '*'}.jsonl"
     df = spark.read.schema(_struct(schema)).option("mode", "DROPMALFORMED").json(pattern)
     path = F.col("_metadata.file_path")
-    keyed = df.filter(~path.contains(".shard")).withColumns(
-        {
-            "model": F.regexp_extract(path, r"([^/]+)/[^/]+\.jsonl(?:/[^/]*)?$", 1),
-            "dataset": F.regexp_extract(path, r"([^/]+)\.jsonl(?:/[^/]*)?$", 1),
-        }
-    )
-    return keyed
+    return df.filter(~path.contains(".shard")).withColumns(_path_keys(path))
+
+
+def _path_keys(path: Column) -> dict[str, Column]:
+    """Model and dataset of ``<model>/<dataset>.jsonl`` or of a file in such a folder; other paths have empty ones.
+
+    The path is a value of every row, so it is cut at its last slashes: a pattern with an open start would try every place of it.
+    """
+
+    def part(n: int) -> Column:
+        """The ``n``-th part from the end."""
+        return F.substring_index(F.substring_index(path, "/", -n), "/", 1)
+
+    def named(name: Column) -> Column:
+        return name.endswith(".jsonl") & (F.length(name) > len(".jsonl"))
+
+    def stem(name: Column) -> Column:
+        return F.substring(name, F.lit(1), F.length(name) - len(".jsonl"))
+
+    in_folder, is_file = named(part(2)), named(part(1))
+    return {
+        "model": F.when(in_folder, part(3)).when(is_file, part(2)).otherwise(F.lit("")),
+        "dataset": F.when(in_folder, stem(part(2))).when(is_file, stem(part(1))).otherwise(F.lit("")),
+    }
 
 
 def write_eval_responses(records: DataFrame, root: str) -> None:

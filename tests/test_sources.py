@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from curaspark import schemas
 from curaspark.operators import assemble
+from curaspark.session import shared_path
 from curaspark.sources import files as fl
 from curaspark.sources.tables import read_table
 from curaspark.streaming import streams as st
@@ -44,6 +45,19 @@ def test_eval_responses_by_path(spark, tmp_path):
     assert [(r["model"], r["dataset"]) for r in one.collect()] == [("m1", "Doc")]
 
 
+def test_path_keys_are_cut_not_searched(spark):
+    """Keys of odd paths are those of the patterns that say what they are; no row has its path searched by a pattern."""
+    root = "file:/tmp/" + "a-long-folder_name.jsonl2" * 4
+    tails = ["m/d.jsonl", "m/d.jsonl/part-0.json", "m/d.jsonl/part-0.jsonl", "m.jsonl/d.jsonl", "m/d.jsonl.jsonl", "m/.jsonl/x", "m/d.json", "m/d.jsonl/a/b", "m%20x/d e.jsonl/p", "m//d.jsonl"]
+    df = spark.createDataFrame([(f"{root}/{t}",) for t in tails], "path string")
+    want = {"model": F.regexp_extract("path", r"([^/]+)/[^/]+\.jsonl(?:/[^/]*)?$", 1), "dataset": F.regexp_extract("path", r"([^/]+)\.jsonl(?:/[^/]*)?$", 1)}
+    assert df.withColumns(fl._path_keys(F.col("path"))).exceptAll(df.withColumns(want)).count() == 0
+    spark.createDataFrame([(1,)], "item int").write.json(f"{(folder := shared_path(spark, 'keys'))}/m/d.jsonl")
+    read = fl.read_eval_responses(spark, folder, "item INT")
+    assert [tuple(r) for r in read.collect()] == [(1, "m", "d")]
+    assert "regexp" not in read._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_open_dataset(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/a/train")
     spark.range(2).write.json(f"{tmp_path}/a/test")
