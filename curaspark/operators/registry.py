@@ -94,32 +94,17 @@ def _inputs(rows: DataFrame) -> dict[str, Column]:
     return out
 
 
-def _call(reward: Reward, rows: list[dict[str, Any]]) -> list[dict[str, float]]:
-    fn, options = reward.fn, reward.options
-    if reward.kind == "batch":
-        return fn(rows, **options)
-    if reward.kind == "sequential":
-        return [fn(r, **options) for r in rows]
-    wanted = set(inspect.signature(fn).parameters)
-    more = dict(options)
-    for name, source in (
-        ("questions", "question"),
-        ("question", "question"),
-        ("description_answers", "description_answers"),
-        ("images", "images"),
-        ("image", "images"),
-    ):
-        if name in wanted and not (name == "question" and "questions" in wanted) and not (name == "image" and "images" in wanted):
-            missing = None if source == "images" else ""
-            more[name] = [r.get(source, missing) for r in rows]
-    return fn([r["response"] for r in rows], [r["ground_truth"] for r in rows], **more)
-
-
-def _checked(reward: Reward, rows: list[dict[str, Any]]) -> list[tuple[float, dict[str, float]]]:
-    """(overall, metrics) of every row."""
-    scores = _call(reward, rows)
-    if len(scores) != len(rows):
-        raise ValueError(f"reward {reward.name} gave {len(scores)} scores for {len(rows)} rows")
+def _lists(reward: Reward) -> list[tuple[str, str]]:
+    """(parameter, input) of the further lists that a function of the list interface asks for."""
+    wanted = set(inspect.signature(reward.fn).parameters)
+    pairs = [("questions", "question"), ("question", "question"), ("description_answers", "description_answers"), ("images", "images"), ("image", "images")]
+    return [(name, source) for name, source in pairs if name in wanted and not (name in ("question", "image") and f"{name}s" in wanted)]
+
+
+def _checked(reward: Reward, scores: list[dict[str, float]], n: int) -> list[tuple[float, dict[str, float]]]:
+    """(overall, metrics) of the scores of ``n`` rows."""
+    if len(scores) != n:
+        raise ValueError(f"reward {reward.name} gave {len(scores)} scores for {n} rows")
     if any("overall" not in s for s in scores):
         raise ValueError(f"reward {reward.name} gave a score without overall")
     return [(float(s["overall"]), {k: float(v) for k, v in s.items() if k != "overall"}) for s in scores]
@@ -150,7 +135,8 @@ def score_rows(rows: DataFrame, name: str, out: str = "reward", batch: Sequence[
         @F.pandas_udf(SCORE)
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
-                yield pd.DataFrame(_checked(reward, pdf.to_dict("records")), columns=["overall", "metrics"])
+                scores = [reward.fn(r, **reward.options) for r in pdf.to_dict("records")]
+                yield pd.DataFrame(_checked(reward, scores, len(pdf)), columns=["overall", "metrics"])
 
         return rows.withColumn(out, run(F.struct(*[c.alias(k) for k, c in inputs.items()])))
 
@@ -160,36 +146,47 @@ def score_rows(rows: DataFrame, name: str, out: str = "reward", batch: Sequence[
     return _score_batches(rows, reward, inputs, out, batch, order)
 
 
-SCORED = pa.struct([("overall", pa.float64()), ("metrics", pa.map_(pa.string(), pa.float64()))])
-
-
 def _score_batches(rows: DataFrame, reward: Reward, inputs: dict[str, Column], out: str, batch: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Scores of a reward that sees whole batches: a worker takes many batches in one pass.
 
     Rows are dealt out and sorted by their batch. A worker cuts what it reads where a batch ends and carries an unfinished batch over
-    to what it reads next, so the size of the transfer decides nothing. Only the inputs become Python values; the other columns
-    pass through as they came.
+    to what it reads next, so the size of the transfer decides nothing. Only the inputs that the function asks for become Python values;
+    an input that is a column of the rows travels once, and the other columns pass through as they came.
     """
-    plain = list(inputs)
-    names = [f"__in_{k}" for k in plain]
+    lists = _lists(reward) if reward.kind == "legacy_batch" else []
+    asked = ["response", "ground_truth", *dict.fromkeys(source for _, source in lists)] if reward.kind == "legacy_batch" else list(inputs)
+    width, own = len(rows.columns), {"response", "response_length", "ground_truth", "description_answers"}.intersection(rows.columns)
+    more = {f"__in_{k}": inputs[k] for k in asked if k in inputs and k not in own}
+    held_as = {k: f"__{rows.columns.index(k)}" if k in own else f"__in_{k}" for k in asked if k in inputs}
     key = F.to_json(F.struct(*[F.col(f"`{c}`") for c in batch]))
-    shaped = rows.withColumns({**{f"__in_{k}": c for k, c in inputs.items()}, "__batch": key})
+    shaped = rows.withColumns({**more, "__batch": key})
     shaped = shaped.repartition("__batch").sortWithinPartitions("__batch", *order)
-    width = len(rows.columns)
     # by number, for the way to Python takes no names with dots
-    shaped = shaped.toDF(*[f"__{i}" for i in range(width)], *names, "__batch")
+    shaped = shaped.toDF(*[f"__{i}" for i in range(width)], *more, "__batch")
 
     def scored(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole batches, end to end."""
         table = pa.Table.from_batches(parts).combine_chunks()
-        given = table.select(names).rename_columns(plain).to_pylist()
-        ends = [*_batch_starts(table["__batch"].combine_chunks())[1:], table.num_rows]
-        scores: list[tuple] = []
-        start = 0
-        for end in ends:
-            scores += _checked(reward, given[start:end])
-            start = end
-        column = pa.array([{"overall": o, "metrics": m} for o, m in scores], SCORED)
+        given = {k: _values(table[name].combine_chunks()) for k, name in held_as.items()}
+        for k in asked:
+            if k not in given:
+                given[k] = [None if k == "images" else ""] * table.num_rows
+        rest = {name: given[source] for name, source in lists}
+        starts = _batch_starts(table["__batch"].combine_chunks())
+        overall, names, values, ends = [], [], [], [0]
+        for start, end in zip(starts, [*starts[1:], table.num_rows]):
+            if reward.kind == "batch":
+                scores = reward.fn([dict(zip(given, r)) for r in zip(*(v[start:end] for v in given.values()))], **reward.options)
+            else:
+                some = {name: v[start:end] for name, v in rest.items()}
+                scores = reward.fn(given["response"][start:end], given["ground_truth"][start:end], **(reward.options | some))
+            for number, metrics in _checked(reward, scores, end - start):
+                overall.append(number)
+                names += metrics.keys()
+                values += metrics.values()
+                ends.append(len(names))
+        metrics = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.float64()))
+        column = pa.StructArray.from_arrays([pa.array(overall, pa.float64()), metrics], ["overall", "metrics"])
         for piece in pa.Table.from_arrays([*table.columns[:width], column], names=[*table.column_names[:width], "__score"]).to_batches():
             yield piece
 
@@ -215,6 +212,17 @@ def _score_batches(rows: DataFrame, reward: Reward, inputs: dict[str, Column], o
     return shaped.mapInArrow(run, schema).toDF(*rows.columns, out)
 
 
+def _values(column: pa.Array) -> list:
+    """As ``to_pylist``, which would make an array of every list first."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    inside, out, at = _values(column.flatten()), [], 0
+    for n in pc.list_value_length(column).to_pylist():
+        out.append(None if n is None else inside[at : at + n])
+        at += n or 0
+    return out
+
+
 def _batch_starts(keys: pa.Array) -> list[int]:
     """Where a new batch begins in a sorted column of batch names; names are never null."""
     changes = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)

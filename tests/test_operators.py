@@ -410,3 +410,19 @@ def test_batch_rewards_see_their_whole_batch(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert registry.score_rows(df, "place", batch=["response"], order=["id"]).orderBy("id").collect() == small
     assert all(r["reward"]["overall"] == r["id"] // 3 and r["reward"]["metrics"]["of"] == (334 if r["step"] == 0 else 333) for r in got) and len(got) == 1000
+
+
+def test_list_rewards_get_what_they_ask_for(spark):
+    """Lists with nulls and empty ones arrive as they are, missing inputs have their stand-ins, and no column travels twice."""
+    rows = [(i, i // 2, f"r{i}", "t", *x) for i, x in enumerate([(["a", None], [["x"], None, []]), (None, None), ([], []), (["b"], [["y", None]]), (["c"], None)])]
+    df = spark.createDataFrame(rows, "id int, step int, response string, ground_truth string, description_answers array<string>, images array<array<string>>")
+
+    def told(predicts, ground_truths, questions, description_answers, images, base=0):
+        return [{"overall": base, repr((p, t, q, a, x)): 1} for p, t, q, a, x in zip(predicts, ground_truths, questions, description_answers, images)]
+
+    registry.register_reward("told", told, base=3)
+    scored = registry.score_rows(df, "told", batch=["step"], order=["id"])
+    got = {r["id"]: (r["reward"]["overall"], r["reward"]["metrics"]) for r in scored.collect()}
+    assert got == {i: (3.0, {repr((r, t, "", a, x)): 1.0}) for i, _, r, t, a, x in rows}
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "__in_images" in plan and not any(f"__in_{x}" in plan for x in ("response", "ground_truth", "description_answers"))
