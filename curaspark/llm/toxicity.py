@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_WORDS = 3_000, 5_000, 3_000_000
 CALIBRATION = 0.2
 STRETCH = 50_000  # words convolved at once
 REMEMBERED = 150_000  # words whose vectors a task keeps
+LOOKED_UP = 10_000  # new words whose features are summed at once
 
 _WORD = re.compile(r"\w+")
 
@@ -75,6 +77,11 @@ def buckets(word: str) -> tuple[int, ...]:
     return tuple(1 + zlib.crc32(w.encode()) % (BUCKETS - 1) for w in raw)
 
 
+def _packed_features(found: list[str]) -> bytes:
+    """The features of all words as 16-bit numbers."""
+    return np.fromiter(chain.from_iterable(map(buckets, found)), np.uint16, len(found) * (1 + len(LETTERS))).tobytes()
+
+
 # ---------------------------------------------------------------- the classifier
 
 
@@ -223,29 +230,30 @@ class Vectors(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.features, self.table = model, [(0,) * (1 + len(LETTERS))], np.zeros((1, DIM), np.float32)
+        self.model, self.new, self.table = model, [], np.zeros((1, DIM), np.float32)
 
     def __missing__(self, word: str) -> int:
-        self[word] = index = len(self.features)
-        self.features.append(buckets(word))
+        self[word] = index = len(self.table) + len(self.new)
+        self.new.append(buckets(word))
         return index
 
     def ids(self, found: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
 
     def look_up(self, ids: np.ndarray) -> np.ndarray:
-        new = self.features[len(self.table) :]
-        if new:
-            self.table = np.concatenate([self.table, self.model.vectors(np.array(new))])
+        if self.new:
+            parts = [self.model.vectors(np.array(self.new[a : a + LOOKED_UP])) for a in range(0, len(self.new), LOOKED_UP)]
+            self.table = np.concatenate([self.table, *parts])
+            self.new = []
         return self.table[ids]
 
     def forget(self) -> None:
-        if len(self.features) > REMEMBERED:
+        if len(self.table) + len(self.new) > REMEMBERED:
             self.clear()
-            self.features, self.table = self.features[:1], self.table[:1]
+            self.new, self.table = [], self.table[:1].copy()
 
 
-def distances(model: Model, texts: list[str | None], known: Vectors) -> np.ndarray:
+def distances(model: Model, texts: Iterable[str | None], known: Vectors) -> np.ndarray:
     """Logit of each text above the threshold of its language."""
     out, group, languages, held = [], [], [], 0
 
@@ -292,10 +300,14 @@ def learned(df: DataFrame, labels: DataFrame, training: Column | None = None, ke
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [words(t) for t in batch.column("text").to_pylist()]
-            packed = [np.array([buckets(w) for w in ws[:room]], np.uint16).tobytes() for ws in found]
+            sizes, spoken, packed = [], [], []
+            for t in batch.column("text"):  # one at a time: the words of a batch as objects are many times its size
+                found = words(t.as_py())
+                sizes.append(len(found))
+                spoken.append(language(found))
+                packed.append(_packed_features(found[:room]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), batch.column("order"), pa.array(map(len, found), pa.int64()), pa.array(map(language, found), pa.int32()), pa.array(packed, pa.binary())],
+                [batch.column("toxic"), batch.column("order"), pa.array(sizes, pa.int64()), pa.array(spoken, pa.int32()), pa.array(packed, pa.binary())],
                 ["toxic", "order", "n_words", "language", "features"],
             )
 
@@ -357,6 +369,11 @@ def best_threshold(logits: np.ndarray, toxic: np.ndarray) -> float:
     return float((low[i] + high[i]) / 2)
 
 
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    """Texts one after the other; a batch has thousands, which need not all be Python objects at once."""
+    return (t.as_py() for t in column)
+
+
 def clean(df: DataFrame, model: Model | None, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``df`` whose score is below ``least``, with all their columns, filtered where they lie."""
     if model is None:
@@ -366,7 +383,7 @@ def clean(df: DataFrame, model: Model | None, text: str = "text", least: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Vectors(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array(distances(shared.value, batch.column(at).to_pylist(), known) < cut))
+            yield batch.filter(pa.array(distances(shared.value, _texts(batch.column(at)), known) < cut))
 
     return df.mapInArrow(run, df.schema)
 
@@ -381,7 +398,7 @@ def scored(df: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Vectors(shared.value)
         for batch in batches:
-            d = distances(shared.value, batch.column(1).to_pylist(), known)
+            d = distances(shared.value, _texts(batch.column(1)), known)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(d, -500, 500))), pa.float64())], [key, "score"])
 
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, score double")

@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -175,6 +176,21 @@ def test_toxicity_of_messy_tables(spark, messy, nothing, classifier):
     assert toxicity.learned(messy, spark.createDataFrame([(1, 0), (7, 1), (8, 1)], labels.schema)) is not None
 
 
+def test_features_are_held_while_they_are_needed(classifier):
+    """Features become vectors when first looked up and are not kept beside them; those of a text are packed without a list."""
+    found = [f"word{i}" for i in range(25_000)]
+    known = toxicity.Vectors(classifier)
+    got = known.look_up(known.ids(found))
+    assert not known.new and len(known.table) == 1 + len(found)
+    assert np.array_equal(got, classifier.vectors(np.array([toxicity.buckets(w) for w in found])))
+    tracemalloc.start()
+    packed = toxicity._packed_features(found * 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(np.frombuffer(packed, np.uint16).reshape(-1, 3)[: len(found)], [toxicity.buckets(w) for w in found])
+    assert peak < 3 * len(packed) + 8 * len(found) * 8 and toxicity._packed_features([]) == b""
+
+
 @pytest.mark.parametrize("long", [1, 20])
 def test_long_texts_do_not_end_the_training_sample(spark, monkeypatch, long):
     """The first labelled texts of each kind by hash, or all of them, are longer than what is read of a kind."""
