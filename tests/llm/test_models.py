@@ -260,6 +260,73 @@ def test_a_long_text_does_not_end_the_sample(spark, quick, monkeypatch):
     assert len(sizes) == 7 and min(sizes) > 0
 
 
+def test_every_training_text_is_learnt_from(spark, quick, monkeypatch):
+    """The sample is a start: passes and the mixture together see each training row once, however few the sample has."""
+    seen = []
+
+    def noted(result):
+        return lambda rows, model, *a: seen.append([r["doc_id"] for r in rows.select("doc_id").collect()]) or (result or model)
+
+    monkeypatch.setattr(lm, "TRAIN_TEXTS", 3)
+    monkeypatch.setattr(lm, "taught", noted(None))
+    monkeypatch.setattr(lm, "whole_mixture_weight", noted(0.5))
+    df = spark.range(90).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), "id", F.lit(" and more")).alias("text"))
+    lm.lm_scores(df.unionByName(df.filter("doc_id < 9")), PATH, training=F.col("doc_id") % 3 != 0)
+    assert len(seen) == lm.PASSES + 1 and all(seen)
+    assert sorted(i for some in seen for i in some) == sorted(i for i in [*range(90), *range(9)] if i % 3)
+
+
+def test_lessons_have_every_id_once():
+    weights, places = small_model()
+    texts = [np.random.default_rng(n).integers(0, 3000, n) for n in (1, lm.WINDOW, lm.WINDOW + 1, lm.WINDOW * lm.STEP + 5, 7)]
+    got = list(lm.lessons(texts, places, 7))
+    assert np.array_equal(np.concatenate([ids[inside] for _, ids, inside in got]), np.concatenate(texts))
+    before = np.concatenate([np.concatenate(([7], t[:-1])) for t in texts])
+    assert np.array_equal(np.concatenate([rows[inside] for rows, _, inside in got]), places.row[before])
+    assert max(len(rows) for rows, _, _ in got) < 2 * lm.STEP and not list(lm.lessons([], places, 7))
+
+
+@pytest.fixture(scope="module")
+def wide_places():
+    return lm.id_places(np.arange(50257), np.arange(50257) % 2 == 0, 50256)
+
+
+def test_a_pass_averages_what_the_tasks_learn(spark, wide_places):
+    weights = lm.new_weights(3)
+    df = spark.createDataFrame([(i, " ".join(f"w{i * j % 17}" for j in range(40 * i))) for i in range(9)], "i int, text string").repartitionByRange(3, "i")
+    kept = [(r["p"], r["text"]) for r in df.select(F.spark_partition_id().alias("p"), "text").collect()]
+    ended = []
+    for task in sorted({p for p, _ in kept}):
+        w = {k: v.copy() for k, v in weights.items()}
+        steps, n = lm._Steps(w), 0
+        ids = [lm.text_ids(lm.lower_words(t), lm.word_ids(PATH), 50256)[0] for p, t in kept if p == task]
+        for rows, target, inside in lm.lessons(ids, wide_places, 50256):
+            steps.take(lm.gradients(w, rows, wide_places.group[target], wide_places.slot[target], inside)[1], 0.01)
+            n += len(rows)
+        ended.append((n, w))
+    got = lm.taught(df, weights, wide_places, PATH, 50256, "text", 0.01)
+    assert len(ended) > 1 and got.keys() == weights.keys()
+    for k in weights:
+        want = sum(n * w[k].astype(float) for n, w in ended) / sum(n for n, _ in ended)
+        assert got[k].shape == weights[k].shape and np.allclose(got[k], want, atol=1e-3) and not np.allclose(got[k], weights[k], atol=1e-6)
+    assert lm.taught(df.limit(0), weights, wide_places, PATH, 50256, "text", 0.01) is weights
+
+
+@pytest.mark.parametrize("common", [0, 3, 1000])
+def test_the_mixture_is_set_by_all_words(spark, wide_places, common):
+    """As from the log ratios of all words themselves, whether their counts are sent or joined."""
+    texts = [" ".join(f"w{min(i, i * j % 19)}" for j in range(60)) for i in range(1, 40)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = lm.cut_lineage(lm.word_counts(df))
+    sent = {r["word"].encode(): r["n"] for r in lm.common_words(counts, common)[0].collect()}
+    tokens = sum(r["n"] for r in counts.collect()) + len(texts)
+    model = lm.Fitted(lm.ready(lm.new_weights(1)), wide_places, PATH, 50256, sent, tokens, 0.0)
+    held = [(ws := lm.lower_words(t), *lm.text_ids(ws, lm.word_ids(PATH), 50256)) for t in texts]
+    want = lm._sample_mixture_weight(held, model, counts, len(texts))
+    assert abs(lm.whole_mixture_weight(df, model, counts, len(texts), "text") - want) < 1e-3
+    assert lm.whole_mixture_weight(df.limit(0), model, counts, len(texts), "text") is None
+
+
 def test_without_training_texts(spark, nothing, messy, quick):
     assert lm.lm_scores(nothing, PATH, training=remainder(7) != 2).count() == 0
     got = lm.lm_scores(messy, PATH, training=F.lit(False)).collect()
