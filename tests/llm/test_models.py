@@ -301,7 +301,7 @@ def test_a_pass_averages_what_the_tasks_learn(spark, wide_places):
         steps, n = lm._Steps(w), 0
         ids = [lm.text_ids(lm.lower_words(t), lm.word_ids(PATH), 50256)[0] for p, t in kept if p == task]
         for rows, target, inside in lm.lessons(ids, wide_places, 50256):
-            steps.take(lm.gradients(w, rows, wide_places.group[target], wide_places.slot[target], inside)[1], 0.01)
+            steps.take(lm.gradients(w, rows, wide_places.group[target], wide_places.slot[target], inside)[1], 0.01 * min(1.0, (steps.taken + 1) / lm.WARM))
             n += len(rows)
         ended.append((n, w))
     got = lm.taught(df, weights, wide_places, PATH, 50256, "text", 0.01)
