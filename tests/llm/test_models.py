@@ -1,7 +1,10 @@
 """SimHash groups, toxicity and language-model scores against brute force, held-out rows and messy tables."""
 
 import math
+import os
 import re
+import subprocess
+import sys
 import tracemalloc
 import zlib
 from collections import Counter
@@ -19,6 +22,7 @@ from curaspark.llm.queries import op4_toxicity, op6_lm_score, remainder
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.01"
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def lowered(text):
@@ -418,3 +422,60 @@ def test_model_beats_word_counts_on_held_out_texts(spark):
     rows = op6_lm_score(spark, SF).filter("held_out").collect()
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 for r in rows)
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+_FAULTS = """
+import resource
+import numpy as np
+from curaspark.llm import lm
+places = lm.id_places(np.arange(3000), np.arange(3000) % 2 == 0, 7)
+texts = [np.random.default_rng(n).integers(0, 3000, lm.WINDOW * lm.STEP) for n in range(4)]
+faults = []
+for epochs in (1, 3):
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    lm.train(texts, places, 7, epochs, batch=lm.STEP)
+    faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+steps = -(-sum(len(lm.windows(t, places, 7)[0]) for t in texts) // lm.STEP)
+print(faults[1] / (3 * steps))
+"""
+
+
+def test_steps_do_not_fetch_their_memory_anew():
+    """Pages that a step of learning takes from the system, once the process is warm: a step holds some thousand."""
+    got = subprocess.run([sys.executable, "-c", _FAULTS], cwd=ROOT, env=os.environ | {"PYTHONPATH": ROOT, "OMP_NUM_THREADS": "1"}, capture_output=True, text=True, check=True, timeout=300)
+    assert float(got.stdout) < 500
+
+
+def test_gradients_equal_finite_differences_with_holes_and_far_places():
+    """Blocks of places give what the whole square of a window gives, also where places in the middle are left out."""
+    weights, _ = small_model(2)
+    weights = {k: v.astype(np.float64) for k, v in weights.items() if k not in ("kv", "scaled_q", "bias")}
+    r = np.random.default_rng(6)
+    weights["near"] = r.normal(0, 0.5, lm.WINDOW)
+    weights["o"] = weights["o"] * 5
+    rows = r.integers(0, lm.ROWS, (5, lm.WINDOW))
+    group, slot, mask = r.integers(0, lm.GROUPS, rows.shape), r.integers(0, lm.SLOTS, rows.shape), r.random(rows.shape) < 0.7
+
+    def loss() -> float:
+        x = weights["rows"][rows]
+        q, k, v = x @ weights["q"], x @ weights["k"], x @ weights["v"]
+        back = np.arange(lm.WINDOW)[:, None] - np.arange(lm.WINDOW)[None, :]
+        a = np.where(back < 0, -np.inf, q @ k.transpose(0, 2, 1) * lm.DIM**-0.5 + weights["near"][np.maximum(back, 0)])
+        a = np.exp(a - a.max(-1, keepdims=True))
+        h = x + (a / a.sum(-1, keepdims=True)) @ v @ weights["o"]
+        h = (h + np.maximum(h @ weights["up"] + weights["up_bias"], 0) @ weights["down"])[mask]
+        g, s, n = group[mask], slot[mask], np.arange(mask.sum())
+        z = h @ weights["group"] + weights["group_bias"]
+        y = np.einsum("nd,nds->ns", h, weights["slot"][g]) + weights["slot_bias"][g]
+        return -np.mean(z[n, g] - np.log(np.exp(z).sum(1)) + y[n, s] - np.log(np.exp(y).sum(1)))
+
+    got, g = lm.gradients(weights, rows, group, slot, mask)
+    assert np.isclose(got, loss(), rtol=1e-9)
+    for name in weights:
+        for at in r.choice(g[name].size, 3, replace=False):
+            at, moved = np.unravel_index(at, g[name].shape), []
+            for step in (1e-5, -1e-5):
+                weights[name][at] += step
+                moved.append(loss())
+                weights[name][at] -= step
+            assert np.isclose((moved[0] - moved[1]) / 2e-5, g[name][at], rtol=1e-3, atol=1e-8), name
