@@ -426,3 +426,15 @@ def test_list_rewards_get_what_they_ask_for(spark):
     assert got == {i: (3.0, {repr((r, t, "", a, x)): 1.0}) for i, _, r, t, a, x in rows}
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert "__in_images" in plan and not any(f"__in_{x}" in plan for x in ("response", "ground_truth", "description_answers"))
+
+
+def test_votes_are_taken_on_rollouts_of_scored_proposals_only(spark):
+    """Rollouts of proposals that are not scored leave before the votes are counted; null keys stay."""
+    proposals = spark.createDataFrame([(1, "4"), (None, "2")], "proposal_id bigint, easy_answer string")
+    samples = spark.createDataFrame([(1, 1, True), (1, 2, False), (2, 1, True), (None, 1, True)], "proposal_id bigint, sample_id int, is_rendered boolean")
+    rollouts = [(p, 1, a, i) for p in (1, 2, None) for i, a in enumerate(["4", "4", "2", "4"])]
+    rollouts = spark.createDataFrame(rollouts, "proposal_id bigint, sample_id int, answer string, n int")
+    scores = rewards.sample_scores(proposals, samples, rollouts, rollouts, ["n"])
+    got = {r["proposal_id"]: (r["solvability"], r["difficulty"]) for r in scores.collect()}
+    assert got == {1: (0.75, 0.25), None: (0.25, 0.25)}
+    assert "LeftSemi" in scores._jdf.queryExecution().optimizedPlan().toString()
